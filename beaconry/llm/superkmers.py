@@ -15,7 +15,7 @@ import numpy as np
 from .common import U64, grams, mix
 
 CHUNK = 1 << 17
-PATH = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
+PATH = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<i4"), ("n", "<u2"), ("many", "u1")])
 _P = 0xD1342543DE82EF95
 _POWERS: list[np.ndarray] = []
 
@@ -24,7 +24,7 @@ def powers() -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS:
         for base in (_P, pow(_P, -1, 2**64)):
             with np.errstate(over="ignore"):
-                _POWERS.append(np.cumprod(np.concatenate([[1], np.full(2 * CHUNK, base, U64)]).astype(U64)))
+                _POWERS.append(np.cumprod(np.concatenate([np.ones(1, U64), np.full(2 * CHUNK, base, U64)])))
     return _POWERS[0], _POWERS[1]
 
 
@@ -37,25 +37,26 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:n], x[w - size : w - size + n]) if w > size else x[:n]
 
 
-def paths(docs: list[tuple[int, np.ndarray]], K: int, m: int) -> Iterator[np.ndarray]:
-    """PATH rows of (id, values) documents; shorter ones than K have none.  Works through bounded chunks."""
+def paths(docs: list[tuple[int, int, np.ndarray]], K: int, m: int) -> Iterator[np.ndarray]:
+    """PATH rows of (id, tag, values) documents; shorter ones than K have none.  Works through bounded chunks."""
     group, total = [], 0
-    for doc, v in docs:
+    for doc, tag, v in docs:
         windows = len(v) - K + 1
         for a in range(0, windows, CHUNK - K):
             piece = v[a : min(a + CHUNK - K, windows) + K - 1]
             if total + len(piece) > CHUNK:
                 yield chunk_paths(group, K, m)
                 group, total = [], 0
-            group.append((doc, a, piece))
+            group.append((doc, tag, a, piece))
             total += len(piece)
     if group:
         yield chunk_paths(group, K, m)
 
 
-def chunk_paths(group: list[tuple[int, int, np.ndarray]], K: int, m: int) -> np.ndarray:
-    v = np.concatenate([x for _, _, x in group]) if len(group) > 1 else group[0][2]
-    lens = np.array([len(x) for _, _, x in group])
+def chunk_paths(group: list[tuple[int, int, int, np.ndarray]], K: int, m: int) -> np.ndarray:
+    docs, tags, offsets, pieces = zip(*group)
+    v = np.concatenate(pieces) if len(pieces) > 1 else pieces[0]
+    lens = np.array([len(x) for x in pieces])
     ends = np.cumsum(lens)
     g = grams(v, m)
     index = np.arange(len(g), dtype=U64)
@@ -63,31 +64,30 @@ def chunk_paths(group: list[tuple[int, int, np.ndarray]], K: int, m: int) -> np.
     owner = np.repeat(np.arange(len(lens)), lens)[: len(best)]
     at = np.flatnonzero(np.arange(len(best)) + K <= ends[owner])
     pos = (best[at] & U64(0xFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], pos[1:] != pos[:-1]]))
+    # a gram never spans two documents here, but neighbouring windows of two documents are not one path
+    first = np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else at
     n = np.diff(np.append(first, len(at)))
     s, own = at[first], owner[at[first]]
     up, down = powers()
     prefix = np.zeros(len(v) + 1, U64)
     np.cumsum(v * up[: len(v)], out=prefix[1:])
     out = np.empty(len(s), PATH)
-    out["key"] = g[pos[first]]
+    out["key"] = g[pos[first]] if len(first) else 0
     out["content"] = mix((prefix[s + n + K - 1] - prefix[s]) * down[s] + n.astype(U64))
-    out["doc"] = np.array([d for d, _, _ in group], np.int64)[own]
-    out["start"] = s - (ends - lens)[own] + np.array([a for _, a, _ in group])[own]
+    out["doc"] = np.array(docs, np.int64)[own]
+    out["tag"] = np.array(tags, np.uint32)[own]
+    out["start"] = s - (ends - lens)[own] + np.array(offsets)[own]
     out["n"] = n
+    out["many"] = 0
     return out
 
 
-def join_runs(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window runs sorted by (doc, start), touching or overlapping ones made one."""
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], (start + n)[order]
-    if not len(doc):
-        return doc, start, n
-    # documents are far enough apart for one running maximum
-    rank = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])).astype(np.int64) << 33
-    reach = np.maximum.accumulate(end + rank)
-    new = np.concatenate([[True], (start + rank)[1:] > reach[:-1]])
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(doc)) - 1
-    return doc[at], start[at], (reach[last] - rank[last]) - start[at]
+def join_runs(start: np.ndarray, n: np.ndarray, more: int) -> list[tuple[int, int]]:
+    """Runs of n windows made [from, to) ranges of the values they cover (more past the last start), touching ones one."""
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    start = start[order]
+    reach = np.maximum.accumulate(start + n[order] + more)
+    at = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+    return list(zip(start[at].tolist(), reach[np.append(at[1:], len(start)) - 1].tolist()))
