@@ -1,16 +1,17 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
-A document's set holds its distinct 5-word shingles (A-Z lower-cased).  Its sketch is the 128 smallest shingle hashes.
+A document's set holds its distinct 5-word shingles (A-Z lower-cased).  Its sketch keeps the 1024 smallest shingle
+hashes in their order, 16 bits of each; the 12 smallest are kept whole.
 
 1. Documents with equal sets form a class; the smallest id stands for it in all that follows.
 2. Inverted lists of the 12 smallest values: two sets with a similarity of s or more share none of them with a
    probability of (1 - s)^12 at most.  Lists of up to 64 classes give all their pairs.
 3. Longer lists (common passages, large groups of copies) give no pairs.  A class with fewer than 8 values in short
-   lists is listed again, under every run of six consecutive retained values (fewer for small sets): similar sets
-   share a run but for a probability of some 1e-8, sets that share a passage seldom do.  These lists are compared in
-   blocks of bounded size on 128-byte signatures, whatever their length; none is cut.
-4. Union sketches estimate each pair's similarity (exactly if both sets fit into their sketches); pairs 5.5 standard
-   deviations below the threshold go.
+   lists is listed again, under every run of six consecutive values of its 128 smallest (fewer for small sets): similar
+   sets share a run but for a probability of some 1e-8, sets that share a passage seldom do.  These lists are compared
+   whole, in blocks of bounded size, and each block gives a spanning forest of its likely links instead of all pairs.
+4. Union sketches estimate each pair's similarity.  For sets within the sketch this is never below the true one, as 16
+   bits can only match too often; for larger ones a pair must fall 0.08 below the threshold to go.
 5. Full sets confirm links.  First each class with the partner that looks best; then all pairs that the components of
    these links leave apart, so copies of one text aren't confirmed pair by pair and no link between components is lost.
 
@@ -21,14 +22,17 @@ one node.  Ties go to the smallest id.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HASHES, U64, Tables, arrow_map, batches, grams, mix, texts
-from .links import components
+from .links import components, roots
 
-SKETCH, HEAD, LIMIT, SAFE, BLOCK = 128, 12, 64, 8, 1024
+SKETCH, RUNS, HEAD, LIMIT, SAFE, BLOCK = 1024, 128, 12, 64, 8, 1024
+#: how far below the threshold an estimate from cut sketches may fall, and how far above it a link counts as likely
+BELOW, ABOVE = 0.08, 0.02
 
 
 def shingle_set(text: str, words: int = 5) -> np.ndarray:
@@ -44,7 +48,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             for t in texts(b):
                 s = shingle_set(t, words)
                 f = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None
-                for c, x in zip(out.values(), (len(s), *((None, None) if f is None else np.array([f >> 64, f & 2**64 - 1], U64).view(np.int64).tolist()), s[:HEAD].view(np.int64), s[:SKETCH].tobytes())):
+                for c, x in zip(out.values(), (len(s), *((None, None) if f is None else np.array([f >> 64, f & 2**64 - 1], U64).view(np.int64).tolist()), s[:HEAD].view(np.int64), s[:SKETCH].astype(np.uint16).tobytes())):
                     c.append(x)
             yield {"doc_id": b.column(0), "doc": b.column(1)} | out
 
@@ -75,81 +79,108 @@ def run_lengths(n: int, percent: int) -> set[int]:
     return {rule(n), rule(n * percent / 100), rule(n * 100 / percent)}
 
 
-def signature(s: np.ndarray) -> bytes:
-    """A byte of the smallest value in each of 128 bins; 0 for none."""
-    out = np.zeros(128, np.uint8)
-    bins = (s % U64(128)).astype(np.int64)[::-1]
-    out[bins] = (s >> U64(32)).astype(np.uint8)[::-1] | 1
-    return out.tobytes()
-
-
 def run_lists(rows: DataFrame, percent: int, tables: Tables) -> DataFrame:
-    """key, c (how many have it), doc, n, sig."""
+    """key, c (how many classes have it), doc, n, sketch; for keys of more than one."""
 
     def run(it):
         for b in it:
-            out = {k: [] for k in ("key", "doc", "n", "sig")}
-            for d, n, sk in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                s = np.frombuffer(sk, U64)
-                sig = signature(s)
+            out = {k: [] for k in ("key", "doc", "n")}
+            for d, n, sk in zip(*(b.column(k).to_pylist() for k in range(3))):
+                s = np.frombuffer(sk, np.uint16)[:RUNS].astype(U64)
                 for r in run_lengths(n, percent):
-                    k = np.unique(mix(grams(s, min(r, len(s))) + U64(r)).view(np.int64)).tolist()
-                    for c, x in zip(out.values(), (k, [d] * len(k), [n] * len(k), [sig] * len(k))):
+                    k = np.unique(mix(grams(s + U64(1), min(r, len(s))) + U64(r)).view(np.int64)).tolist()
+                    for c, x in zip(out.values(), (k, [d] * len(k), [n] * len(k))):
                         c.extend(x)
             yield out
 
-    listed = tables.cut(arrow_map(rows, run, "key long, doc long, n long, sig binary"))
+    listed = tables.cut(arrow_map(rows, run, "key long, doc long, n long"))
     counts = tables.cut(listed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
-    return tables.cut(listed.join(counts, "key"))
+    return tables.cut(listed.join(counts, "key")).join(rows.select("doc", "sketch"), "doc")
+
+
+def codes(sketch: bytes, most: int) -> np.ndarray:
+    """The first values of a sketch, made distinct by counting equal ones."""
+    x = np.sort(np.frombuffer(sketch, np.uint16)[:most]).astype(np.int32)
+    if len(x):
+        new = np.concatenate([[True], x[1:] != x[:-1]])
+        at = np.flatnonzero(new)
+        x += (np.arange(len(x)) - np.repeat(at, np.diff(np.append(at, len(x))))).astype(np.int32) << 16
+    return x
+
+
+def similarity(shared, n, m):
+    """Of sets of n and m from what their sketches share: of the part of the values that both sketches reach."""
+    large = np.maximum(n, m)
+    scale = np.minimum(SKETCH, large) / large
+    return shared / np.maximum((n + m) * scale - shared, 1e-9)
+
+
+def least(n, m, percent):
+    return np.where(np.maximum(n, m) <= SKETCH, percent / 100 - 1e-9, percent / 100 - BELOW)
+
+
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many codes each of x shares with each of y, by products of bounded 0/1 matrices over codes that stand twice."""
+    own = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    code, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    left = own < len(x)
+    column = np.full(len(code), -1)
+    both = np.flatnonzero((np.bincount(at[left], minlength=len(code)) > 0) & (np.bincount(at[~left], minlength=len(code)) > 0))
+    column[both] = np.arange(len(both))
+    where = column[at]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for a in range(0, len(both), 2048):
+        m = np.zeros((len(x) + len(y), min(2048, len(both) - a)), np.float32)
+        ok = (where >= a) & (where < a + m.shape[1])
+        m[own[ok], where[ok] - a] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return out
 
 
-def block_pairs(lists: DataFrame, percent: int, labelled: bool) -> DataFrame:
-    """Pairs whose signatures allow a link: for each class the best of each block, or if labelled all across components."""
-    blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
-    rows = lists.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
+def forest(sim: np.ndarray, sure: np.ndarray, maybe: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the sure pairs, and the other pairs between its trees."""
+    nodes = np.unique(np.concatenate([a, b]))
+    i, j = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+    root, x, y = np.arange(len(nodes)), [], []
+    while True:
+        new = sure & (root[i][:, None] != root[j])
+        if not new.any():
+            break
+        best = np.where(new, sim, -1.0)
+        r, c = np.arange(len(a)), best.argmax(1)
+        r, c = r[best[r, c] > 0], c[best[r, c] > 0]
+        x.append(a[r])
+        y.append(b[c])
+        u, v = roots(np.concatenate([root[i[r]], root]), np.concatenate([root[j[c]], np.arange(len(nodes))]))
+        root = v[np.searchsorted(u, root)]
+    r, c = np.nonzero(maybe & (root[i][:, None] != root[j]))
+    x, y = np.concatenate([*x, a[r]]), np.concatenate([*y, b[c]])
+    return np.minimum(x, y).astype(np.int64), np.maximum(x, y).astype(np.int64)
+
+
+def block_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the lists that leave no two classes apart whose sketches allow a link."""
+    rows = lists.withColumn("k", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    label = F.col("root") if labelled else F.lit(0).cast("long").alias("root")
-    grouped = rows.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("doc", "n", "sig", (F.col("own") > F.col("other")).alias("right"), label.alias("root"))).alias("rows"))
-
-    def compare(x, y, same):
-        (d, n, s, r), (e, m, q, t) = x, y
-        match = np.zeros((len(d), len(e)), np.int16)
-        either = np.zeros((len(d), len(e)), np.int16)
-        for k in range(128):
-            u, v = s[:, k, None], q[None, :, k]
-            any_ = (u | v) > 0
-            either += any_
-            match += any_ & (u == v)
-        ok = (match >= 0.6 * either) & (100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m)) & (d[:, None] != e)
-        if labelled:
-            ok &= r[:, None] != t
-            i, j = np.nonzero(ok)
-        else:
-            score = np.where(ok, match / np.maximum(either, 1), -1.0)
-            i, j = np.arange(len(d)), score.argmax(1)
-            if not same:
-                j2, i2 = np.arange(len(e)), score.argmax(0)
-                i, j = np.concatenate([i, i2]), np.concatenate([j, j2])
-            good = score[i, j] >= 0
-            i, j = i[good], j[good]
-        return np.minimum(d[i], e[j]), np.maximum(d[i], e[j])
+    grouped = rows.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("doc", "n", "sketch", (F.col("own") > F.col("other")).alias("right"))).alias("rows"))
 
     def run(it):
         for b in it:
             out = [(np.zeros(0, np.int64),) * 2]
             for i, j, rows in zip(*(c.to_pylist() for c in b.columns)):
-                if len(rows) < 2:
+                d, n = (np.array([x[k] for x in rows], np.int64) for k in ("doc", "n"))
+                s = [codes(x["sketch"], SKETCH) for x in rows]
+                right = np.array([x["right"] for x in rows])
+                # a block meets itself in its own group only
+                l, r = (np.arange(len(rows)),) * 2 if i == j else (np.flatnonzero(~right), np.flatnonzero(right))
+                if not len(l) or not len(r) or len(rows) < 2:
                     continue
-                d, n, r = (np.array([x[k] for x in rows], np.int64) for k in ("doc", "n", "root"))
-                s = np.frombuffer(b"".join(x["sig"] for x in rows), np.uint8).reshape(-1, 128)
-                if i == j:
-                    out.append(compare((d, n, s, r), (d, n, s, r), True))
-                else:
-                    # every block meets itself in its own group only
-                    right = np.array([x["right"] for x in rows])
-                    left = ~right
-                    if right.any() and left.any():
-                        out.append(compare((d[left], n[left], s[left], r[left]), (d[right], n[right], s[right], r[right]), False))
+                shared = shared_counts([s[k] for k in l], [s[k] for k in r])
+                x, y = n[l][:, None], n[r]
+                sim = similarity(shared, x, y)
+                maybe = (sim >= least(x, y, percent)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (d[l][:, None] != d[r])
+                sure = maybe & (sim >= percent / 100 + ABOVE) & (np.maximum(x, y) <= SKETCH)
+                out.append(forest(sim, sure, maybe, d[l], d[r]))
             a, c = np.unique(np.stack([np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])]), axis=1)
             yield {"a": a, "b": c}
 
@@ -157,33 +188,22 @@ def block_pairs(lists: DataFrame, percent: int, labelled: bool) -> DataFrame:
 
 
 def estimate(pairs: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
-    """a, b, est, sure (est is the similarity itself and suffices) of the pairs that may link."""
+    """a, b, est of the pairs that may link."""
     both = pairs.join(sk.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    p = percent / 100
 
     def run(it):
         for b in it:
-            est, sure, keep = [], [], []
-            for na, nb, sa, sb in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
-                x, y = np.frombuffer(sa, U64), np.frombuffer(sb, U64)
-                u = np.concatenate([x, y])
+            n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
+            shared = np.zeros(len(n))
+            for k, (sa, sb) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist())):
+                u = np.concatenate([codes(sa, SKETCH), codes(sb, SKETCH)])
                 u.sort()
-                twice = np.concatenate([u[1:] == u[:-1], [False]])
-                if na <= SKETCH and nb <= SKETCH:
-                    shared = int(twice.sum())
-                    size = len(u) - shared
-                    est.append(shared / size)
-                    sure.append(True)
-                    keep.append(100 * shared >= percent * size)
-                else:
-                    first = np.concatenate([[True], u[1:] != u[:-1]])
-                    shared = int(twice[first][:SKETCH].sum())
-                    est.append(shared / SKETCH)
-                    sure.append(False)
-                    keep.append(shared >= SKETCH * p - 5.5 * np.sqrt(SKETCH * p * (1 - p)))
-            yield {"a": b.column(0), "b": b.column(1), "est": est, "sure": sure, "keep": keep}
-
-    return arrow_map(both.select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long, est double, sure boolean, keep boolean").filter("keep").drop("keep")
+                shared[k] = (u[1:] == u[:-1]).sum()
+            est = similarity(shared, n, m)
+            ok = est >= least(n, m, percent)
+            yield {"a": b.column(0).filter(pa.array(ok)), "b": b.column(1).filter(pa.array(ok)), "est": est[ok]}
+
+    return arrow_map(both.select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long, est double")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, words: int, tables: Tables) -> DataFrame:
@@ -208,9 +228,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, words: int, tables:
     return out
 
 
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs between different components."""
-    x, y = (roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    x, y = (found.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
     return pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
@@ -232,18 +252,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     # classes that short lists alone don't cover
     long_ = listed.filter(F.col("c") > LIMIT).groupBy("doc").agg(F.count("*").alias("long"))
     open_ = reps.join(long_, "doc").filter(F.size("head") - F.col("long") < SAFE).select("doc", "n", "sketch")
-    lists = run_lists(open_, percent, tables)
-
-    pairs = tables.cut(estimate(short.unionByName(block_pairs(lists, percent, False)).distinct(), reps, percent))
-    links = pairs.filter("sure").select("a", "b")
-    guess = pairs.filter("not sure")
-    ends = guess.select(F.col("a").alias("x"), F.col("b").alias("y"), "est").unionByName(guess.select(F.col("b").alias("x"), F.col("a").alias("y"), "est"))
+    pairs = short.unionByName(block_pairs(run_lists(open_, percent, tables), percent)).distinct()
+    pairs = tables.cut(estimate(pairs, reps, percent))
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "est").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "est"))
     best = ends.groupBy("x").agg(F.max(F.struct("est", (-F.col("y")).alias("y"))).alias("m")).select(F.least("x", -F.col("m.y")).alias("a"), F.greatest("x", -F.col("m.y")).alias("b")).distinct()
-    links = tables.cut(links.unionByName(confirm(tables.cut(best), docs, percent, words, tables)))
-    roots = tables.cut(components(links, tables))
-    marked = lists.join(roots, lists["doc"] == roots["id"], "left").select("key", "c", "doc", "n", "sig", F.coalesce("root", "doc").alias("root"))
-    more = estimate(apart(block_pairs(marked, percent, True).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), roots), reps, percent)
-    rest = tables.cut(apart(guess.select("a", "b"), roots).join(best, ["a", "b"], "left_anti").withColumn("sure", F.lit(False)).unionByName(more.select("a", "b", "sure")))
-    links = links.unionByName(rest.filter("sure").select("a", "b")).unionByName(confirm(rest.filter("not sure"), docs, percent, words, tables))
-    roots = tables.cut(components(links, tables))
-    return member.join(roots, member["rep"] == roots["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"), (F.col("doc") == F.coalesce("root", "rep")).alias("kept"))
+    best = tables.cut(best)
+    links = confirm(best, docs, percent, words, tables)
+    rest = tables.cut(apart(pairs.select("a", "b"), components(links, tables)).join(best, ["a", "b"], "left_anti"))
+    found = tables.cut(components(links.unionByName(confirm(rest, docs, percent, words, tables)), tables))
+    return member.join(found, member["rep"] == found["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"), (F.col("doc") == F.coalesce("root", "rep")).alias("kept"))
