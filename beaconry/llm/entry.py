@@ -5,12 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score_toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    scored = score_toxicity(docs, fit(docs, labels.filter(~held)))
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "n_matches")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import find_leaks
 
@@ -64,7 +74,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_token_counts, op4_substring_dedup, op5_suffix_dedup, op6_embedding_dedup, op8_packing, op9_minhash_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_substring_dedup, op5_suffix_dedup, op6_embedding_dedup, op8_packing, op9_minhash_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
