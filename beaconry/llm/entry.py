@@ -53,6 +53,12 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -74,7 +80,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_substring_dedup, op5_suffix_dedup, op6_embedding_dedup, op8_packing, op9_minhash_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_substring_dedup, op5_suffix_dedup, op6_embedding_dedup, op7_quality, op8_packing, op9_minhash_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
