@@ -32,9 +32,13 @@ def whole_word(term: str) -> str:
     return left + "".join(re.escape(c) if c.isascii() and not c.isalnum() and c != "_" else c for c in term) + right
 
 
-def has_term(lowered: Column, term: str) -> Column:
-    """The cheap substring test stands in front of the pattern."""
-    return (lowered.contains(term) & lowered.rlike(whole_word(term))) if term else F.lit(False)
+def sql_string(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def has_term(lowered: str, term: str) -> str:
+    """SQL of a whole-word test; the cheap substring test stands in front of the pattern."""
+    return f"({lowered} IS NOT NULL AND contains({lowered}, {sql_string(term)}) AND {lowered} RLIKE {sql_string(whole_word(term))})" if term else "false"
 
 
 def severity(score: Column, thresholds) -> Column:

@@ -75,7 +75,7 @@ def vocabulary(spark, d):
 def _keyword(category):
     def run(spark, d):
         rule = KeywordRule(category, [category])
-        return feed(spark, d).select("seq", r6(rule.score(F.col("text"), F.col("language"))).alias("score")).filter("score > 0")
+        return feed(spark, d).select("seq", r6(rule.score()).alias("score")).filter("score > 0")
 
     return run
 
@@ -88,7 +88,7 @@ for _c in TERMS:
 def keyword_fallback(spark, d):
     """Pooled categories, custom terms and the English lists for other languages."""
     rule = KeywordRule("all", custom_terms={"it": ["quiet day", "park"], "de": ["und"]})
-    return feed(spark, d).select("seq", "language", r6(rule.score(F.col("text"), F.col("language"))).alias("score"))
+    return feed(spark, d).select("seq", "language", r6(rule.score()).alias("score"))
 
 
 @query
@@ -96,13 +96,13 @@ def keyword_documents(spark, d):
     """Custom terms over whole raw documents."""
     docs = documents(spark, d)
     rule = KeywordRule("frequent", ["none"], custom_terms=FREQUENT)
-    return docs.select("seq", r6(rule.score(F.col("text"), F.col("language"))).alias("score"))
+    return docs.select("seq", r6(rule.score()).alias("score"))
 
 
 @query
 def pattern_rule(spark, d):
     rule = PatternRule("p", [r"https?://\S+", r"case \d*7\b", r"ATTENTAT|tornado"])
-    return feed(spark, d).select("seq", r6(rule.score(F.col("text"), F.col("language"))).alias("score")).filter("score > 0")
+    return feed(spark, d).select("seq", r6(rule.score()).alias("score")).filter("score > 0")
 
 
 @query
