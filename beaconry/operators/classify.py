@@ -100,7 +100,8 @@ def parse_responses(rows: DataFrame, config: Classification | None = None) -> Da
     base = rows.select("signal_id", F.col("response").alias("raw_response"), v.alias("_v"), F.coalesce(kind, F.lit("VOID")).alias("_kind"))
     bad = ~F.col("_kind").startswith("OBJECT") | F.coalesce(get("$._parse_error", "boolean"), F.lit(False))
     items = F.coalesce(get("$.labels", "array<variant>"), F.array().cast("array<variant>"))
-    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    # least() passes over nulls
+    clamp = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
     def label(x, i):
         named = F.try_variant_get(x, "$.type", "string")

@@ -70,14 +70,15 @@ class PandasRule:
     types: tuple[str, ...] = ()
 
     def score(self, text: str = "text", language: str = "language") -> Column:
-        import pandas as pd
-
         func = self.func
 
-        @F.pandas_udf("double")
-        def run(t: pd.Series, x: pd.Series) -> pd.Series:
+        def run(t, x):
+            import pandas as pd
+
             return pd.Series([float(func(a, b)) for a, b in zip(t, x)], dtype=float)
 
+        run = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)
+
         return run(F.expr(text), F.expr(language))
 
 
