@@ -206,11 +206,17 @@ def estimate(pairs: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
     return arrow_map(both.select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long, est double")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int, words: int, tables: Tables) -> DataFrame:
-    """Links among pairs (a written table), by full sets."""
-    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+def full_sets(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), "text").join(wanted, "doc", "left_semi")
-    sets = tables.cut(arrow_map(source, lambda it: ({"doc": b.column(0), "s": [shingle_set(t, words).tobytes() for t in texts(b)]} for b in it), "doc long, s binary"))
+    return arrow_map(source, lambda it: ({"doc": b.column(0), "s": [shingle_set(t, words).tobytes() for t in texts(b)]} for b in it), "doc long, s binary")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """Links among pairs, by full sets."""
     both = pairs.select("a", "b").join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
 
     def run(it):
@@ -223,9 +229,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, words: int, tables:
                 ok.append(100 * shared >= percent * (len(u) - shared))
             yield {"a": b.column(0), "b": b.column(1), "ok": ok}
 
-    out = tables.cut(arrow_map(both.select("a", "b", "sa", "sb"), run, "a long, b long, ok boolean").filter("ok").select("a", "b"))
-    tables.drop(sets)
-    return out
+    return tables.cut(arrow_map(both.select("a", "b", "sa", "sb"), run, "a long, b long, ok boolean").filter("ok").select("a", "b"))
 
 
 def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -244,20 +248,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     # not the class's first: an anti-join would need the rep of each row, so rows of no class pass and others are compared
     member = tables.cut(sk.select("doc_id", "doc", "n", "f", "g").join(copies, (F.col("f") == F.col("cf")) & (F.col("g") == F.col("cg")), "left").select("doc_id", "doc", "n", F.coalesce("rep", "doc").alias("rep")))
     others = member.filter("doc != rep").select("doc").distinct()
-    reps = tables.cut(sk.filter("n > 0").select("doc", "n", "head", "sketch").join(others, "doc", "left_anti"))
+    reps = tables.cut(sk.filter("n > 0").select("doc", "n", "head").join(others, "doc", "left_anti"))
     heads = reps.select("doc", "n", F.explode("head").alias("value"))
     counts = tables.cut(heads.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1"))
     listed = tables.cut(heads.join(counts, "value"))
     short = list_pairs(listed.filter(F.col("c") <= LIMIT).groupBy("value").agg(F.collect_list(F.struct("doc", "n")).alias("rows")).select("rows"), percent)
     # classes that short lists alone don't cover
     long_ = listed.filter(F.col("c") > LIMIT).groupBy("doc").agg(F.count("*").alias("long"))
-    open_ = reps.join(long_, "doc").filter(F.size("head") - F.col("long") < SAFE).select("doc", "n", "sketch")
+    open_ = reps.join(long_, "doc").filter(F.size("head") - F.col("long") < SAFE).select("doc").join(sk.select("doc", "n", "sketch"), "doc")
     pairs = short.unionByName(block_pairs(run_lists(open_, percent, tables), percent)).distinct()
-    pairs = tables.cut(estimate(pairs, reps, percent))
+    pairs = tables.cut(pairs)
+    # sketches move once, to those that have a pair
+    near = tables.cut(sk.select("doc", "n", "sketch").join(ends_of(pairs), "doc", "left_semi"))
+    pairs = tables.cut(estimate(pairs, near, percent))
+    tables.drop(near)
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "est").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "est"))
     best = ends.groupBy("x").agg(F.max(F.struct("est", (-F.col("y")).alias("y"))).alias("m")).select(F.least("x", -F.col("m.y")).alias("a"), F.greatest("x", -F.col("m.y")).alias("b")).distinct()
     best = tables.cut(best)
-    links = confirm(best, docs, percent, words, tables)
+    sets = tables.cut(full_sets(ends_of(pairs), docs, words))
+    links = confirm(best, sets, percent, tables)
     rest = tables.cut(apart(pairs.select("a", "b"), components(links, tables)).join(best, ["a", "b"], "left_anti"))
-    found = tables.cut(components(links.unionByName(confirm(rest, docs, percent, words, tables)), tables))
+    found = tables.cut(components(links.unionByName(confirm(rest, sets, percent, tables)), tables))
     return member.join(found, member["rep"] == found["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"), (F.col("doc") == F.coalesce("root", "rep")).alias("kept"))
