@@ -151,7 +151,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.weights[t.features].mean() + self.bias, -40, 40))) if t.n else 0.0
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, ridge: float = 1e-3, columns: int = 800, rounds: int = 40) -> tuple[np.ndarray, float]:
+def train(rows: list[np.ndarray], target: np.ndarray, ridge: float = 3e-5, columns: int = 800, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic fit by Newton steps; rows are feature numbers of the words.
 
     Features that most texts of the sample share come first, up to `columns`; the others weigh nothing."""
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, sample: int = 4000) -> Scorer:
     return Scorer(w, b, {f.__name__[5:]: (float(table[1, k, 0]), float(table[0, k, 1])) for k, f in enumerate(LABELLERS)}, posterior)
 
 
-def score_quality(docs: DataFrame, threshold: float = 0.25, sample: int = 4000, keep_text: bool = False, scorer: Scorer | None = None) -> DataFrame:
+def score_quality(docs: DataFrame, threshold: float = 0.5, sample: int = 4000, keep_text: bool = False, scorer: Scorer | None = None) -> DataFrame:
     """doc_id, score, keep (score >= threshold), posterior (of its votes), n_words; with keep_text the row's columns and score, keep."""
     scorer = scorer or fit(docs, sample)
     batches(docs.sparkSession)
