@@ -181,6 +181,34 @@ def test_decontamination(spark, docs, empty):
     assert decontam.find_leaks(empty, bench).count() == 0 == decontam.find_leaks(docs, bench.limit(0)).count()
 
 
+def windows(text, item, size=5):
+    """Similarity of each window of the item's length."""
+    shingles = lambda w, m: [tuple(w[k : k + m]) for k in range(len(w) - m + 1)]
+    w, x = decontam.WORD.findall(text.lower()), decontam.WORD.findall(item.lower())
+    m = min(size, len(x))
+    want, out = collections.Counter(shingles(x, m)), []
+    for s in range(max(1, len(w) - len(x) + 1)):
+        mine = collections.Counter(shingles(w[s : s + len(x)], m))
+        out.append((mine & want).total() / ((mine | want).total()))
+    return out
+
+
+def test_decontamination_compares_all_windows():
+    rng = random.Random(8)
+    w = [f"w{k}" for k in range(50)]
+    tail = lambda x: " ".join(f"v{k}" for k in range(400)) + f" {x}" * 40
+    items = [" ".join(w), tail("no"), "a b a b a b a b a b a b", "a b c", "a"] + [" ".join(rng.choices("abc", weights=(6, 2, 1), k=n)) for n in (4, 6, 12, 25, 40)]
+    docs = ["x y z " + " ".join(w[25:] + w[:25]) + " z y x", "so " + tail("yes") + " so", "", "a b", " ".join(w[:47])]
+    docs += [" ".join(rng.choices("abcd", weights=(6, 2, 1, 1), k=n)) for n in range(1, 120)]
+    index = decontam.Index(list(enumerate(items)))
+    for d in docs:
+        want = {k: max(s) for k, x in enumerate(items) for s in [windows(d, x)] if max(s) >= 0.8}
+        got = index.scan(d, 0.8)
+        assert {k: x for k, _, x in got} == pytest.approx(want)
+        assert all(s == windows(d, items[k]).index(max(windows(d, items[k]))) for k, s, _ in got)
+    assert [k for k, _, _ in index.scan(docs[0], 0.8)][:1] == [0] and index.scan(docs[1], 0.8)[0][0] == 1
+
+
 def test_hamming_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
     index = decontam.Index([(k, " ".join(f"t{k}x{j}" for j in range(20))) for k in range(50)])
