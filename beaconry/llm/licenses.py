@@ -6,6 +6,12 @@ Dice coefficient over distinct word bigrams, 2 |A & B| / (|A| + |B|).  A coeffic
 |A| between |B| t / (2 - t) and |B| (2 - t) / t, so a unit's size leaves few templates, most often none.  A text
 matches a template with the best of its units; equal coefficients go to the template that comes first by name.
 
+A notice may be wrapped: runs of consecutive lines, blank ones aside, are units as well, up to the number of words that
+the largest template allows.  A run counts where no run or line that overlaps it matches the same licence better; of
+equal ones the one of fewest lines is better, then the first.  A run holds t / (2 - t) of its template's bigrams
+at least, so runs are built only in texts, and of lines, that hold so many.  Lines stay whole: a short
+notice inside a line of other words is no match.  The SQL of this query has no runs; both agree where no notice is wrapped.
+
 Null and empty texts, and those without a unit that reaches the threshold, have a null license, coefficient 0 and
 no matches.  Every row of the input gives one row.
 """
@@ -77,29 +83,67 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: dict[str,
     guard = r"(?i)(?<![a-z0-9])(?:" + "|".join(starts) + r")[^a-z0-9]+(?:" + "|".join(vocabulary) + r")(?![a-z0-9])"
     lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     marked = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), F.when(text.rlike(guard), units).otherwise(F.array().cast("array<string>")).alias("_units"))
-    clean = F.transform(F.filter("_units", lambda u: u.rlike(guard)), lambda u: F.trim(F.regexp_replace(lower(u), "[^a-z0-9]+", " ")))
-    words = F.transform(clean, lambda u: F.split(u, " "))
-    bigrams = F.filter(
-        F.transform(words, lambda w: F.array_distinct(F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.concat_ws(" ", w[i], x)))),
-        lambda b: (F.size(b) >= F.lit(low)) & (F.size(b) <= F.lit(high)),
-    )
+    split = lambda u: F.split(F.trim(F.regexp_replace(lower(u), "[^a-z0-9]+", " ")), " ")
+    pairs_of = lambda w: F.array_distinct(F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.concat_ws(" ", w[i], x)))
+    words = F.transform(F.filter("_units", lambda u: u.rlike(guard)), split)
     table = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, b)).alias("b")) for n, _, b in rows])
 
     def dice(unit, t):
         return F.lit(2.0) * F.size(F.array_intersect(unit, t["b"])) / (F.size(unit) + F.size(t["b"]))
 
-    def compare(unit):
-        near = F.filter(table, lambda t: (F.size(t["b"]) >= F.size(unit) * F.lit(threshold / (2 - threshold))) & (F.size(t["b"]) * F.lit(threshold / (2 - threshold)) <= F.size(unit)))
+    def compare(unit, among):
+        near = F.filter(among, lambda t: (F.size(t["b"]) >= F.size(unit) * F.lit(threshold / (2 - threshold))) & (F.size(t["b"]) * F.lit(threshold / (2 - threshold)) <= F.size(unit)))
         return F.filter(F.transform(near, lambda t: F.struct((-dice(unit, t)).alias("minus"), t["license"].alias("license"))), lambda m: -m["minus"] >= F.lit(threshold))
 
-    found = marked.select("doc_id", F.filter(F.transform(bigrams, compare), lambda m: F.size(m) > 0).alias("_m"))
-    best = F.array_min(F.flatten("_m"))
+    none = F.array().cast("array<string>")
+    bigrams = marked.select("doc_id", "_units", F.transform(words, pairs_of).alias("_b"))
+    fits = F.filter("_b", lambda b: (F.size(b) >= F.lit(low)) & (F.size(b) <= F.lit(high)))
+    # the whole text is the last unit, if it isn't the only one; what it holds of the templates bounds what a run can hold
+    found = bigrams.select(
+        "doc_id",
+        "_units",
+        F.filter(F.transform(fits, lambda b: compare(b, table)), lambda m: F.size(m) > 0).alias("_m"),
+        F.when(F.size("_units") > 1, F.array_intersect(F.element_at("_b", -1), F.array(*map(F.lit, pairs)))).otherwise(none).alias("_hit"),
+    )
+    least = threshold / (2 - threshold)
+    near = F.when(F.size("_hit") >= F.lit(low - 1e-9), F.filter(table, lambda t: F.size(F.array_intersect("_hit", t["b"])) >= F.size(t["b"]) * F.lit(least) - F.lit(1e-9)))
+    found = found.select("doc_id", "_units", "_m", "_hit", F.coalesce(near, F.filter(table, lambda t: F.lit(False))).alias("_near"))
+    lines = F.filter(F.transform(F.slice("_units", 1, F.size("_units") - 1), split), lambda w: w[0] != "")
+    found = found.select("doc_id", "_m", "_hit", "_near", F.when(F.size("_near") > 0, lines).otherwise(F.array().cast("array<array<string>>")).alias("_w"))
+    # words and template bigrams of each line, the one into the next line included
+    ahead = lambda w, i: F.concat(w, F.slice(F.flatten(F.slice("_w", i + 2, F.lit(1))), 1, 1))
+    found = found.select(
+        "doc_id", "_m", "_near", "_w",
+        F.transform("_w", lambda w: F.size(w)).alias("_n"),
+        F.transform(F.transform("_w", ahead), lambda w: F.size(F.array_intersect(pairs_of(w), "_hit"))).alias("_h"),
+        F.array_min(F.transform("_near", lambda t: F.size(t["b"]) * F.lit(least) - F.lit(1e-9))).alias("_need"),
+    )
+    sums = lambda c: F.transform(F.sequence(F.lit(0), F.size(c)), lambda k: F.aggregate(F.slice(c, 1, k), F.lit(0), lambda x, y: x + y))
+    found = found.select("doc_id", "_m", "_near", "_w", "_h", "_need", sums("_n").alias("_ns"), sums("_h").alias("_hs"))
+    most = int(max(len(words_of(x)) for v in templates.values() for x in v) * (2 - threshold) / threshold) + 1
+    last = lambda i: F.least(F.size("_w") - i, F.lit(most))
+    over = lambda c, i, k: F.col(c)[i + k] - F.col(c)[i]
+    lengths = lambda i: F.filter(F.sequence(F.lit(1), last(i)), lambda k: (F.col("_h")[i] > 0) & (over("_ns", i, k) <= F.lit(most)) & (over("_hs", i, k) >= F.col("_need")))
+    runs = F.flatten(F.transform("_w", lambda w, i: F.transform(lengths(i), lambda k: F.struct(i.alias("i"), k.alias("k"), F.flatten(F.slice("_w", i + 1, k)).alias("w")))))
+    runs = F.transform(runs, lambda r: F.struct(r["i"].alias("i"), r["k"].alias("k"), pairs_of(r["w"]).alias("b")))
+    matches = lambda r: F.transform(
+        compare(r["b"], F.col("_near")),
+        lambda m: F.struct(r["i"].alias("i"), (r["i"] + r["k"]).alias("end"), m["license"].alias("license"), m["minus"].alias("minus"), F.struct(m["minus"], r["k"], r["i"]).alias("rank")),
+    )
+    found = found.select("doc_id", "_m", F.size("_w").alias("_all"), F.flatten(F.transform(runs, matches)).alias("_r"))
+    beaten = lambda m: F.exists("_r", lambda o: (o["license"] == m["license"]) & (o["i"] < m["end"]) & (m["i"] < o["end"]) & (o["rank"] < m["rank"]))
+    # single lines and the whole text are units already
+    more = F.filter("_r", lambda m: (m["end"] - m["i"] > 1) & (m["end"] - m["i"] < F.col("_all")) & ~beaten(m))
+    found = found.select("doc_id", "_m", more.alias("_r"))
+    found = found.select("doc_id", F.flatten("_m").alias("_f"), F.transform("_r", lambda m: F.struct(m["minus"], m["license"])).alias("_g"), (F.size("_m") + F.size(F.array_distinct(F.transform("_r", lambda m: F.struct(m["i"], m["end"]))))).alias("_u"))
+    found = found.select("doc_id", F.concat("_f", "_g").alias("_m"), "_u")
+    best = F.array_min("_m")
     return found.select(
         "doc_id",
         best["license"].alias("license"),
         F.coalesce(-best["minus"], F.lit(0.0)).alias("dice"),
-        F.size("_m").cast("long").alias("n_units"),
-        F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(F.flatten("_m"), lambda m: m["license"])))).alias("licenses"),
+        F.col("_u").cast("long").alias("n_units"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("_m", lambda m: m["license"])))).alias("licenses"),
     )
 
 

@@ -285,6 +285,20 @@ def test_licences(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    prose = "\n".join(f"line {k} of prose that says nothing of note" for k in range(30))
+    wrap = lambda name, mark="": textwrap.fill(licenses.TEMPLATES[name][-1], 60, initial_indent=mark, subsequent_indent=mark)
+    rows = [(k, f"{prose}\n\n{wrap(n, m)}\n\n{prose}") for k, (n, m) in enumerate([("mit", ""), ("isc", "# "), ("gpl-3.0", " * "), ("apache-2.0", "// ")])]
+    rows += [(4, f"{wrap('mit')}\n{prose}\n{wrap('isc')}\n{prose}\nReleased under the MIT\nLicense."), (5, wrap("mit").replace("\n", "\n\n")), (6, prose + "\nReleased under the MIT License.\n" + prose), (7, wrap("mit")[:150] + "\n" + prose)]
+    got = {r.doc_id: (r.license, round(r.dice, 6), r.n_units, r.licenses) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # the first line of the last is a notice by itself
+    assert [got[k] for k in range(4)] == [("mit", 1.0, 1, "mit"), ("isc", 1.0, 1, "isc"), ("gpl-3.0", 1.0, 1, "gpl-3.0"), ("apache-2.0", 1.0, 2, "apache-2.0")]
+    # "Released under the MIT" matches as a line too
+    assert got[4] == ("isc", 1.0, 4, "isc,mit") and got[5] == got[6] == ("mit", 1.0, 1, "mit") and got[7] == (None, 0.0, 0, "")
+
+
 def test_toxicity(spark, empty):
     assert toxicity.fold("1d10t m0r​on іdiot 2024") == " idiot moron idiot 2024 "
     rng = random.Random(3)
