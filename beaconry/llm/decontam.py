@@ -21,9 +21,11 @@ nothing.  The items, a stated query set, are held by each task in parts of bound
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,11 +129,23 @@ class Index:
         return [(self.ids[i], s, x) for i, s, x in sorted(out)]
 
 
+def item_parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in parts of bounded size, one at least."""
+    part, total = [], 0
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").orderBy("item_id")
+    for r in rows.toLocalIterator():
+        part.append((r["item_id"], r["text"]))
+        total += len(r["text"].split())
+        if total > PART_WORDS:
+            yield part
+            part, total = [], 0
+    yield part
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """doc_id, item_id, start (word), similarity: one row for each document and item with a window that similar."""
     batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out, part, total = [], [], 0
 
     def scanned(items):
         def run(it):
@@ -142,15 +156,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, si
 
         return arrow_map(source, run, "doc_id long, item_id long, start long, similarity double")
 
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").orderBy("item_id")
-    for r in rows.toLocalIterator():
-        part.append((r["item_id"], r["text"]))
-        total += len(r["text"].split())
-        if total > PART_WORDS:
-            out.append(scanned(part))
-            part, total = [], 0
-    out.append(scanned(part))
-    found = out[0]
-    for x in out[1:]:
+    found, *more = map(scanned, item_parts(benchmark))
+    for x in more:
         found = found.unionByName(x)
     return found
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
+    """The rows of docs whose text has no window that similar to an item.  Each row is judged by itself, whatever its id."""
+    batches(docs.sparkSession)
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes)
+
+    def cleaned(source, items):
+        def run(it):
+            index = Index(items, size)
+            for b in it:
+                ok = pa.array([not index.scan(t, threshold) for t in texts(b)], pa.bool_())
+                yield {c: b.column(k).filter(ok) for k, c in enumerate(b.schema.names)}
+
+        return arrow_map(source, run, schema)
+
+    for part in item_parts(benchmark):
+        docs = cleaned(docs, part)
+    return docs

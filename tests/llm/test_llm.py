@@ -341,3 +341,25 @@ def test_pipeline_stages(spark):
         sizes.append(docs.count())
     assert sizes[0] >= sizes[1] == sizes[2] >= sizes[3] > 0
     assert C.run(spark, sf).select("doc_id").distinct().count() == sizes[3]
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as C
+
+    sf, rng = "/root/testdata/sf0.001", random.Random(11)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    a, b, c, d, e = (prose() for _ in range(5))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    near = " ".join(["edit", *b.split()[1:]])
+    # repeated rows, a near copy without an id, one id on unlike texts, rows without an id
+    given = [(1, a), (1, a), (7, b), (None, near), (4, near), (5, c), (5, d), (None, e), (None, e), (6, f"{d} {item}"), (None, f"{c} {item}"), (6, prose())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in given], SCHEMA).repartition(3)
+    rows = lambda x: sorted(((r.doc_id, r.text) for r in x.collect()), key=str)
+    once = C.minhash_near_dedup(spark, docs, sf)
+    kept = [(1, a), (4, near), (5, c), (5, d), (None, e), *given[9:]]
+    assert rows(once) == sorted(kept, key=str) and once.columns == list(C.COLUMNS)
+    # a text that stood twice as a row loses nothing
+    cut = rows(C.suffix_array_dedup(spark, common.Tables(spark, "test").cut(once), sf))
+    assert {(1, a), (4, near), (None, e)} <= set(cut) and len(cut) == len(kept)
+    clean = C.benchmark_decontamination(spark, once, sf)
+    assert rows(clean) == sorted([*kept[:5], given[-1]], key=str) and clean.columns == list(C.COLUMNS)
