@@ -5,7 +5,8 @@
 2. Expectation-maximisation (Dawid and Skene's model) estimates how often each labeller votes how on good and on bad
    texts, and so the posterior of each combination.
 3. The posteriors of a bounded sample of texts train a logistic scorer on hashed shapes of words: letters, digits and
-   signs by kind, with a mark for words that repeat the one before.  It scores every text by the mean of its words.
+   signs by kind, with a mark for words that repeat the one before.  It scores every text by the mean of its words;
+   a word of over 200 characters, as in texts without spaces, counts as the pieces of that length that it consists of.
 
 Null, empty and blank texts have no words: score 0, not kept.  Other short texts get votes like any other, where a
 labeller has enough words to go by.
@@ -29,14 +30,20 @@ RUNS = re.compile(r"(?P<U>[^\W\d_a-zß-öø-ÿ]+)|(?P<L>[^\W\d_]+)|(?P<N>\d+)|(?
 
 
 class Shapes(dict):
-    """word -> bucket of its shape, remembered up to a bound."""
+    """Piece of a word -> bucket of its shape, remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT, PIECE = 400_000, 200
+
+    def pieces(self, words: list[str]) -> list[str]:
+        """The words, long ones cut into consecutive pieces."""
+        if max(map(len, words), default=0) <= self.PIECE:
+            return words
+        return [w[k : k + self.PIECE] for w in words for k in range(0, len(w), self.PIECE)]
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        shape = RUNS.sub(lambda m: m.lastgroup.lower() if m.lastgroup != "S" else m[0][:3], word[:200])
+        shape = RUNS.sub(lambda m: m.lastgroup.lower() if m.lastgroup != "S" else m[0][:3], word)
         h = self[word] = xxhash.xxh3_64_intdigest(shape.encode("utf8", "surrogatepass")) % BUCKETS
         return h
 
@@ -89,6 +96,14 @@ def vote_lengths(t: "Text") -> int:
 LABELLERS = (vote_symbols, vote_shouting, vote_repeats, vote_vocabulary, vote_exclamations, vote_tables, vote_sentences, vote_lengths)
 
 
+def repeats(words: list[str]) -> np.ndarray:
+    """Which words equal the one before."""
+    out = np.zeros(len(words), bool)
+    if words:
+        out[1:] = np.fromiter(map(str.__eq__, words[1:], words), bool, len(words) - 1)
+    return out
+
+
 class Text:
     """Counts that the labellers share, and the shapes that the scorer reads."""
 
@@ -98,11 +113,9 @@ class Text:
         self.n, self.size = len(words), len(data)
         self.bytes = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
         self.distinct = len(set(words))
-        shape = np.fromiter(map(SHAPES.__getitem__, words), np.int64, self.n)
-        self.repeats = np.zeros(self.n, bool)
-        if self.n:
-            self.repeats[1:] = np.fromiter(map(str.__eq__, words[1:], words), bool, self.n - 1)
-        self.features = 2 * shape + self.repeats
+        self.repeats = repeats(words)
+        pieces = SHAPES.pieces(words)
+        self.features = 2 * np.fromiter(map(SHAPES.__getitem__, pieces), np.int64, len(pieces)) + (self.repeats if pieces is words else repeats(pieces))
 
     def pattern(self) -> int:
         out = 0

@@ -329,6 +329,17 @@ def test_quality(spark, empty):
     assert got == {1: (False,), 2: (False,)}
 
 
+def test_quality_reads_long_words_whole():
+    head = "漢字" * 100
+    plain, junk = (quality.Text(head + tail) for tail in ("漢字" * 300, "#$%1" * 150))
+    assert len(plain.features) == len(junk.features) == 4 and plain.n == junk.n == 1
+    assert (plain.features != junk.features)[1:].all() and plain.features[0] == junk.features[0]
+    # pieces are marked as repeated like words; short words are as before
+    assert (plain.features % 2).tolist() == [0, 1, 1, 1] and (quality.Text("a a b").features % 2).tolist() == [0, 1, 0]
+    s = quality.Scorer(np.where(np.isin(np.arange(2 * quality.BUCKETS), junk.features[1:]), -9.0, 9.0), 0.0, {}, {})
+    assert s.score(plain) > 0.9 > 0.1 > s.score(junk)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
 
