@@ -164,17 +164,17 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.weights[t.features].mean() + self.bias, -40, 40))) if t.n else 0.0
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, ridge: float = 3e-5, columns: int = 800, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic fit by Newton steps; rows are feature numbers of the words.
+def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, ridge: float = 3e-5, columns: int = 800, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic fit by Newton steps; rows are distinct feature numbers and how often each occurs.
 
     Features that most texts of the sample share come first, up to `columns`; the others weigh nothing."""
     seen = np.zeros(2 * BUCKETS, np.int64)
-    for r in rows:
-        seen[np.unique(r)] += 1
+    for f, _ in rows:
+        seen[f] += 1
     use = np.argsort(-seen, kind="stable")[: min(columns, int((seen > 1).sum()))]
     x = np.ones((len(rows), len(use) + 1))
-    for k, r in enumerate(rows):
-        x[k, 1:] = np.bincount(r, minlength=2 * BUCKETS)[use] / max(1, len(r))
+    for k, (f, n) in enumerate(rows):
+        x[k, 1:] = np.bincount(f, weights=n, minlength=2 * BUCKETS)[use] / max(1, n.sum())
     penalty, w = np.full(len(use) + 1, ridge * len(rows)), np.zeros(len(use) + 1)
     penalty[0] = 1e-6
     for _ in range(rounds):
@@ -189,7 +189,7 @@ def train(rows: list[np.ndarray], target: np.ndarray, ridge: float = 3e-5, colum
 
 
 def fit(docs: DataFrame, sample: int = 4000) -> Scorer:
-    """sample: about so many texts, chosen by a hash of their content, train the scorer; the votes are those of all texts."""
+    """sample: so many distinct texts, those of the least hashes, train the scorer; the votes are those of all texts."""
     batches(docs.sparkSession)
     source = docs.select("text")
 
@@ -204,19 +204,23 @@ def fit(docs: DataFrame, sample: int = 4000) -> Scorer:
     patterns, counts = np.array([r["pattern"] for r in rows]), np.array([r["n"] for r in rows], float)
     post, table = expectation_maximisation(patterns, counts)
     posterior = dict(zip(patterns.tolist(), post.tolist()))
-    share = min(1.0, sample / counts.sum())
 
     def examples(it):
         for b in it:
-            got = [t for t in map(Text, texts(b)) if t.n]
-            # at most 2000 words of each example go to the driver, spread over the whole text
-            yield {"pattern": [t.pattern() for t in got], "f": [t.features[:: 1 + t.n // 2000].astype(np.int32) for t in got]}
-
-    chosen = source.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1))
-    got = arrow_map(chosen, examples, "pattern long, f array<int>").limit(2 * sample).toPandas()
+            got = [(h, t) for h, t in zip(b.column(0).to_pylist(), map(Text, texts(b))) if t.n]
+            f = [np.unique(t.features, return_counts=True) for _, t in got]
+            # whole texts: at most one number for each feature goes to the driver
+            yield {"h": [h for h, _ in got], "pattern": [t.pattern() for _, t in got], "f": [x.astype(np.int32) for x, _ in f], "n": [n for _, n in f]}
+
+    # hashes alone find the bound, so copies of one text fill no sample and move no text
+    hashed = source.filter(F.col("text").rlike(r"\S")).select(F.xxhash64("text", F.lit(3)).alias("h"), "text")
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = hashed.filter(F.col("h") <= F.lit(last)).distinct()
+    # sorted, so that sums don't depend on the order of partitions
+    got = arrow_map(chosen, examples, "h long, pattern long, f array<int>, n array<long>").toPandas().sort_values("h", kind="stable")
     got = got[got["pattern"].isin(posterior)]
     target = np.array([posterior[p] for p in got["pattern"].tolist()])
-    w, b = train([np.asarray(f) for f in got["f"]], target) if len(got) else (np.zeros(2 * BUCKETS), 0.0)
+    w, b = train([(np.asarray(f), np.asarray(n)) for f, n in zip(got["f"], got["n"])], target) if len(got) else (np.zeros(2 * BUCKETS), 0.0)
     return Scorer(w, b, {f.__name__[5:]: (float(table[1, k, 0]), float(table[0, k, 1])) for k, f in enumerate(LABELLERS)}, posterior)
 
 

@@ -340,6 +340,23 @@ def test_quality_reads_long_words_whole():
     assert s.score(plain) > 0.9 > 0.1 > s.score(junk)
 
 
+def test_quality_sample_is_fixed_and_without_copies(spark, monkeypatch):
+    rng = random.Random(6)
+    good = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(40)) + "."
+    bad = lambda: " ".join("".join(rng.choice("#$%1") for _ in range(5)) for _ in range(40))
+    given = [good() for _ in range(150)] + [bad() for _ in range(50)]
+    given += [given[0]] * 400 + [given[1] + " word" * 5000, None, "", "  "]
+    taken = []
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda rows, *a: taken.append(rows) or train(rows, *a))
+    docs = spark.createDataFrame([(t,) for t in given], "text string")
+    fits = [quality.fit(docs.repartition(n), sample) for sample in (1000, 50) for n in (1, 7)]
+    # each distinct text once, and all its words
+    assert [len(x) for x in taken] == [201, 201, 50, 50] and max(n.sum() for _, n in taken[0]) == 5040
+    for a, b in (fits[:2], fits[2:]):
+        assert (a.weights == b.weights).all() and a.bias == b.bias
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
 
