@@ -91,13 +91,14 @@ def unfenced(raw: Column) -> Column:
 
 
 def parse_responses(rows: DataFrame, config: Classification | None = None) -> DataFrame:
-    """Results of rows (signal_id, response).  What isn't a JSON object, or has labels that aren't objects, goes to human
-    review; so does a null response."""
+    """Results of rows (signal_id, response, and error if calls may have failed).  What isn't a JSON object goes to human
+    review, and so do a null response and a failed call; of labels, those that aren't objects are left out."""
     config = config or Classification()
     v = F.try_parse_json(unfenced(F.col("response")))
     kind = F.schema_of_variant(v)
     get = lambda path, type_: F.try_variant_get("_v", path, type_)
-    base = rows.select("signal_id", F.col("response").alias("raw_response"), v.alias("_v"), F.coalesce(kind, F.lit("VOID")).alias("_kind"))
+    error = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
+    base = rows.select("signal_id", F.col("response").alias("raw_response"), error.alias("_error"), v.alias("_v"), F.coalesce(kind, F.lit("VOID")).alias("_kind"))
     bad = ~F.col("_kind").startswith("OBJECT") | F.coalesce(get("$._parse_error", "boolean"), F.lit(False))
     items = F.coalesce(get("$.labels", "array<variant>"), F.array().cast("array<variant>"))
     # least() passes over nulls
@@ -113,14 +114,15 @@ def parse_responses(rows: DataFrame, config: Classification | None = None) -> Da
     first = lambda a, b: F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).otherwise(a["i"] - b["i"])
     top = F.transform(F.slice(F.array_sort(good, first), 1, config.max_labels), lambda x: F.struct(x["incident_type"].alias("incident_type"), x["confidence"].alias("confidence"), x["reasoning"].alias("reasoning")))
     severity = get("$.overall_severity", "string")
-    out = base.select("signal_id", "raw_response", bad.alias("_bad"), top.alias("_top"), severity.alias("_sev"), get("$.requires_human_review", "boolean").alias("_review"), get("$.escalation_note", "string").alias("_note"))
+    failed = F.col("_error").isNotNull()
+    out = base.select("signal_id", "raw_response", "_error", bad.alias("_bad"), top.alias("_top"), severity.alias("_sev"), get("$.requires_human_review", "boolean").alias("_review"), get("$.escalation_note", "string").alias("_note"))
     return out.select(
         "signal_id",
         F.when(F.col("_bad"), F.array().cast(LABELS)).otherwise(F.col("_top").cast(LABELS)).alias("labels"),
         F.when(~F.col("_bad") & F.col("_sev").isin(*SEVERITIES), F.col("_sev")).otherwise("P4").alias("severity"),
         F.when(F.col("_bad"), True).otherwise(F.coalesce("_review", F.lit(False))).alias("requires_human_review"),
-        F.when(F.col("_bad"), PARSE_NOTE).otherwise(F.col("_note")).alias("escalation_note"),
-        "raw_response",
+        F.when(failed, F.concat(F.lit("Classification failed: "), "_error")).when(F.col("_bad"), PARSE_NOTE).otherwise(F.col("_note")).alias("escalation_note"),
+        F.when(failed, F.to_json(F.struct(F.col("_error").alias("error")))).otherwise(F.col("raw_response")).alias("raw_response"),
     )
 
 
@@ -238,7 +240,9 @@ class Classifier:
         self.notes.clear()
 
     def classify(self, signals: DataFrame) -> DataFrame:
-        """Results of signals (signal_id, text, source, language).  A failed call gives a row for human review."""
+        """Results of signals (signal_id, text, source, language).  A failed call gives a row for human review.
+
+        Each action on the result calls the provider once for each signal: write it (storage.written) to use it twice."""
         provider, system = self.provider, self.system_prompt
 
         def ask(it: Iterator) -> Iterator:
@@ -257,8 +261,5 @@ class Classifier:
 
         prompts = signals.select("signal_id", user_prompt(F.col("text"), F.col("source"), F.col("language")).alias("prompt"))
         answered = prompts.mapInPandas(ask, "signal_id string, response string, error string")
-        parsed = parse_responses(answered.filter("error is null"), self.config)
-        failed = answered.filter("error is not null").select("signal_id", F.array().cast(LABELS).alias("labels"), F.lit("P4").alias("severity"), F.lit(True).alias("requires_human_review"), F.concat(F.lit("Classification failed: "), "error").alias("escalation_note"), F.to_json(F.struct("error")).alias("raw_response"))
-        return parsed.unionByName(failed)
-
-
+        # one plan over the answers, so no call is made twice
+        return parse_responses(answered, self.config)

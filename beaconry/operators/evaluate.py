@@ -35,16 +35,21 @@ def _rate(a, b):
 
 
 def per_label(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """threshold, label, tp, fp, fn, tn, precision, recall, f1.  labels: the golden set's, a dozen at most."""
+    """threshold, label, tp, fp, fn, tn, precision, recall, f1.  labels: the golden set's.
+
+    Each row is counted under the labels it has; true negatives are what is left of a threshold's rows."""
+    count = lambda c: F.sum(c.cast("long"))
+    cells = rows.select("threshold", "found", "true_labels", "counted_labels", F.explode(F.array_union("true_labels", "counted_labels")).alias("label")).join(labels, "label", "left_semi")
     has, got = F.array_contains("true_labels", F.col("label")), F.array_contains("counted_labels", F.col("label"))
     listed = F.size(F.filter("true_labels", lambda x: x == F.col("label")))
-    count = lambda c: F.sum(c.cast("long"))
-    out = rows.crossJoin(F.broadcast(labels)).groupBy("threshold", "label").agg(
+    seen = cells.groupBy("threshold", "label").agg(
         count((F.col("found") & has & got).cast("int")).alias("tp"),
         count((F.col("found") & ~has & got).cast("int")).alias("fp"),
+        count((F.col("found") & has & ~got).cast("int")).alias("_missed"),
         count(F.when(F.col("found"), (has & ~got).cast("int")).otherwise(listed)).alias("fn"),
-        count((F.col("found") & ~has & ~got).cast("int")).alias("tn"),
     )
+    all_ = rows.groupBy("threshold").agg(F.count_if("found").alias("_all"))
+    out = seen.join(all_, "threshold").withColumn("tn", F.col("_all") - F.col("tp") - F.col("fp") - F.col("_missed")).drop("_all", "_missed")
     p, r = _rate(F.col("tp"), F.col("tp") + F.col("fp")), _rate(F.col("tp"), F.col("tp") + F.col("fn"))
     return out.withColumns({"precision": p, "recall": r}).withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-300))).otherwise(F.lit(0.0)))
 
@@ -123,3 +128,31 @@ class GoldenSet:
         if modes:
             lines += ["", "  Identified Failure Modes:"] + [f"    - {x['mode']}" for x in modes]
         return "\n".join(lines)
+
+
+def boost(classifier, golden: GoldenSet, rounds: int = 3, threshold: float = 0.5) -> list[DataFrame]:
+    """Rounds of evaluation in which each one's failure modes go into the next one's prompt; the macro rows of each round.
+
+    A round classifies every golden example once.  It ends early where no new failure mode turns up.  classifier: one
+    whose classify() takes signal_id, text, source, language."""
+    from ..storage import written
+
+    examples = last_wins(golden.golden)
+    have = set(examples.columns)
+    fill = lambda c, x: F.coalesce(F.col(c), F.lit(x)).alias(c) if c in have else F.lit(x).alias(c)
+    asked = examples.select(F.col("example_id").alias("signal_id"), "text", fill("source", "golden_set"), fill("language", "en"))
+    out = []
+    for _ in range(rounds):
+        results = written(classifier.classify(asked), "boost")
+        confidence = F.coalesce(F.array_max(F.transform("labels", lambda x: x["confidence"])), F.lit(0.0))
+        said = results.select(F.col("signal_id").alias("example_id"), F.lit(0).cast("long").alias("pos"), F.transform("labels", lambda x: x["incident_type"]).alias("predicted_labels"), F.col("severity").alias("predicted_severity"), confidence.alias("confidence"))
+        found = golden.evaluate(said, threshold)
+        out.append(found["macro"])
+        # two modes for each label of the golden set, and one more
+        modes = [r["mode"] for r in found["failure_modes"].orderBy("rank", "label").select("mode").collect()]
+        new = [m for m in modes if m not in classifier.failure_modes]
+        if not new:
+            break
+        for m in new:
+            classifier.add_failure_mode(m)
+    return out

@@ -18,8 +18,8 @@ def passing(signals: DataFrame, config: Notifications) -> DataFrame:
     return signals.filter(F.lit(bool(config.enabled and config.webhooks)) & (F.col("severity") <= config.min_severity))
 
 
-def payload(signals: DataFrame) -> Column:
-    """Compact JSON of a signal; the signature is that of just these bytes."""
+def payload() -> Column:
+    """Compact JSON of a signal's columns; the signature is that of just these bytes."""
     return F.to_json(F.struct(F.lit("signal").alias("alert_type"), "signal_id", "severity", F.round("score", 4).alias("score"), F.substring("text", 1, 500).alias("text"), "source", "language", "matched_rules", "suggested_types", "created_at"))
 
 
@@ -49,14 +49,20 @@ def deliver(body: str, signed: str | None, hook: Webhook, transport: Callable =
 
 
 def dispatch(signals: DataFrame, config: Notifications, transport: Callable = http_transport) -> None:
-    """POSTs each passing signal to each endpoint, from the executors.  Failures don't stop the job; after a lost task
-    alerts may come twice, and the signal_id in the payload tells them."""
-    for hook in config.webhooks if config.enabled else ():
-        signed = signature(F.col("body"), hook.secret) if hook.secret else F.lit(None).cast("string")
-        rows = passing(signals, config).select(payload(signals).alias("body")).select("body", signed.alias("signed"))
-
-        def send(part, hook=hook):
+    """POSTs each passing signal to all endpoints at once, from the executors, in one job.  Failures don't stop the job;
+    after a lost task alerts may come twice, and the signal_id in the payload tells them."""
+    hooks = config.webhooks if config.enabled else ()
+    if not hooks:
+        return
+    signed = F.array(*[signature(F.col("body"), h.secret) if h.secret else F.lit(None).cast("string") for h in hooks])
+    rows = passing(signals, config).select(payload().alias("body")).select("body", signed.alias("signed"))
+
+    def send(part):
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(len(hooks)) as pool:
             for r in part:
-                deliver(r["body"], r["signed"], hook, transport)
+                # all endpoints of a signal, then the next one
+                list(pool.map(lambda h, s: deliver(r["body"], s, h, transport), hooks, r["signed"]))
 
-        rows.foreachPartition(send)
+    rows.foreachPartition(send)

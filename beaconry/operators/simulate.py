@@ -8,26 +8,69 @@ from pyspark.sql import functions as F
 from .rules import RuleEngine
 
 
-def anchors(records: DataFrame, seconds: float = 300.0) -> DataFrame:
+#: windows of time that one task walks through; a later block waits for nothing but its first anchor
+SPAN = 16
+
+
+def chains(t, seconds: float):
+    """For sorted times: the last anchor of the chain that starts at each one, how many anchors it has, and the next place."""
+    import numpy as np
+
+    to = np.searchsorted(t, t + seconds, "left")
+    last, n = t.copy(), np.ones(len(t), np.int64)
+    for k in range(len(t) - 1, -1, -1):
+        if to[k] < len(t):
+            last[k], n[k] = last[to[k]], n[to[k]] + 1
+    return last, n, to
+
+
+def anchors(records: DataFrame, seconds: float = 300.0, span: int = SPAN) -> DataFrame:
     """window_id, anchor: the first time, and each first time at or past the last anchor plus the window's length.
 
-    Each anchor follows from the one before, so one task walks over the sorted distinct times, and over nothing else."""
-    times = records.select(F.col("timestamp").cast("double").alias("t")).filter("t is not null").distinct().coalesce(1).sortWithinPartitions("t")
+    Each anchor follows from the one before.  Blocks of `span` windows of time are walked through in parallel, from every
+    time that their first anchor can be: one within a window's length of the block's start, or the first one after
+    that.  These alone, a small part of the distinct times, are then followed from block to block in one task, which
+    gives each block its first anchor and the number of the windows before it."""
+    import numpy as np
+    import pandas as pd
+
+    size = float(seconds * span)
+    times = records.select(F.col("timestamp").cast("double").alias("t")).filter("t is not null").distinct().withColumn("block", F.floor(F.col("t") / F.lit(size)))
+
+    def entries(key, rows):
+        t = np.sort(rows["t"].to_numpy())
+        start = key[0] * size
+        last, n, _ = chains(t, seconds)
+        many = min(int(np.searchsorted(t, start + seconds, "left")) + 1, len(t))
+        return pd.DataFrame({"block": key[0], "first": t[:many], "last": last[:many], "n": n[:many]})
 
-    def walk(it):
+    def follow(it):
         import pyarrow as pa
 
-        last, k = None, 0
+        last, done, k = None, None, 0
         for b in it:
             out = []
-            for t in b.column(0).to_pylist():
-                if last is None or t >= last + seconds:
-                    last = t
-                    out.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(range(k, k + len(out)), pa.int64()), pa.array(out, pa.float64())], ["window_id", "anchor"])
-            k += len(out)
-
-    return times.mapInArrow(walk, "window_id long, anchor double")
+            for block, first, end, n in zip(*(c.to_pylist() for c in b.columns)):
+                if block != done and (last is None or first >= last + seconds):
+                    out.append((block, first, k))
+                    last, done, k = end, block, k + n
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.float64(), pa.int64()))], ["block", "first", "before"])
+
+    ways = times.groupBy("block").applyInPandas(entries, "block long, first double, last double, n long")
+    begun = ways.repartition(1).sortWithinPartitions("block", "first").mapInArrow(follow, "block long, first double, before long")
+
+    def walk(key, left, right):
+        if not len(right):
+            return pd.DataFrame({"window_id": [], "anchor": []})
+        t = np.sort(left["t"].to_numpy())
+        _, _, to = chains(t, seconds)
+        out, k = [], int(np.searchsorted(t, right["first"].iloc[0]))
+        while k < len(t):
+            out.append(t[k])
+            k = int(to[k])
+        return pd.DataFrame({"window_id": int(right["before"].iloc[0]) + np.arange(len(out)), "anchor": out})
+
+    return times.groupBy("block").cogroup(begun.groupBy("block")).applyInPandas(walk, "window_id long, anchor double")
 
 
 def windows(records: DataFrame, seconds: float = 300.0) -> DataFrame:

@@ -14,7 +14,8 @@ from .operators.detect import monitor
 from .operators.notify import dispatch
 from .operators.rules import RuleEngine
 from .sources.records import read_records
-from .streaming.monitor import monitor_stream, read_stream
+from .storage import written
+from .streaming.monitor import monitor_stream, read_stream, signal_batches
 
 
 @dataclass
@@ -39,21 +40,30 @@ class Pipeline:
         self.engine = engine or RuleEngine(thresholds=self.config.detection.thresholds)
 
     def run(self, records: DataFrame) -> Result:
-        """records: seq, text, source, language, timestamp.  Alerts, if any are set up, go out at once."""
+        """records: seq, text, source, language, timestamp.  Alerts and classifications, if set up, are made at once, one for
+        each signal.  A classification that fails as a whole leaves its error in the result."""
         signals = monitor(records, self.config.detection, self.engine)
-        if self.config.notifications.enabled and self.config.notifications.webhooks:
-            signals = signals.persist()
-            dispatch(signals, self.config.notifications, self.transport)
+        if self.config.notifications.enabled and self.config.notifications.webhooks or self.classifier is not None:
+            # what went out is what the result holds
+            signals = written(signals, "sent")
+        dispatch(signals, self.config.notifications, self.transport)
         batched = reports.batches(signals, records, self.config.detection.batch_size)
         high = reports.incidents(batched)
-        results = None
+        results, errors = None, []
         if self.classifier is not None:
-            results = self.classifier.classify(signals)
+            try:
+                results = written(self.classifier.classify(signals), "classified")
+            except Exception as error:  # noqa: BLE001
+                errors.append(f"Classification failed: {error}")
         by = None if results is None else results.join(high.select("signal_id", "incident_id", "seq"), "signal_id")
-        return Result(signals, results, reports.sitreps(high, by, self.config.reports.max_signals_per_report))
+        return Result(signals, results, reports.sitreps(high, by, self.config.reports.max_signals_per_report), errors)
 
     def run_file(self, path: str) -> Result:
         return self.run(read_records(self.spark, path))
 
-    def stream(self, path: str) -> DataFrame:
-        return monitor_stream(read_stream(self.spark, path), self.config.detection, self.engine)
+    def stream(self, path: str, output: str, checkpoint: str, files: int = 100, **trigger):
+        """A started query over files of JSON lines that arrive in a folder: signals with anomalies, boost and metadata go to
+        output (parquet, by batch), alerts to the webhooks.  trigger: as for writeStream.trigger."""
+        signals = monitor_stream(read_stream(self.spark, path, files), self.config.detection, self.engine)
+        writer = signals.writeStream.foreachBatch(signal_batches(self.config, output, self.transport)).option("checkpointLocation", checkpoint)
+        return (writer.trigger(**trigger) if trigger else writer).start()

@@ -406,7 +406,7 @@ _ALERTS = Notifications(True, (Webhook("https://example.org/hook", "s3cret"),),
 
 @query
 def webhook_payload(spark, d):
-    return notify.passing(signals(spark, d), _ALERTS).select("seq", notify.payload(signals(spark, d)).alias("payload"))
+    return notify.passing(signals(spark, d), _ALERTS).select("seq", notify.payload().alias("payload"))
 
 
 @query

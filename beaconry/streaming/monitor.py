@@ -1,7 +1,8 @@
-"""The monitor over streams: stateful dedup by key, volume state by source of time, alerts per micro-batch.
+"""The monitor over streams: stateful dedup by key, volume anomalies carried from micro-batch to micro-batch, alerts.
 
-Neither stateful operator promises the order of rows in a micro-batch, so handlers sort by seq.  State outlives batches;
-a time to live of the dedup state is an extension, off by default.
+Arrival is the order: files come in order of their modification time, and what a later file brings is later, whatever
+its seq; within a micro-batch rows go by seq.  A stream whose files arrive in order of seq gives what the batch monitor
+gives.  State outlives batches; a time to live of the dedup state is an extension, off by default.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, Detection
-from ..operators.detect import language_filter, with_ids
+from ..operators.anomaly import bucket_of, flagged, timed
+from ..operators.classify import http_transport
+from ..operators.detect import language_filter, with_anomalies, with_ids
 from ..operators.notify import dispatch
+from ..operators.order import BLOCK, framed, own_rows, runs
 from ..operators.rules import RuleEngine
 from ..sources.records import parse_records
 
@@ -37,7 +41,7 @@ def dedup_stream(scored: DataFrame, ttl_seconds: int | None = None) -> DataFrame
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
+        rows = pd.concat([p for p in parts if len(p)]).sort_values("seq", kind="stable")
         best = state.get[0] if state.exists else float("-inf")
         top = rows["score"].cummax().shift(fill_value=best).clip(lower=best)
         out = rows[rows["score"] > top]
@@ -53,9 +57,9 @@ def dedup_stream(scored: DataFrame, ttl_seconds: int | None = None) -> DataFrame
 
 
 def monitor_stream(records: DataFrame, config: Detection | None = None, engine: RuleEngine | None = None, ttl_seconds: int | None = None) -> DataFrame:
-    """Signals of a stream of records: language filter, scores, dedup, confidence.  See volume_stream for anomalies."""
+    """Signals of a stream of records: language filter, scores, dedup, confidence.  signal_batches adds anomalies."""
     config = config or Detection()
-    scored = (engine or RuleEngine(thresholds=config.thresholds)).scores(language_filter(records, config.languages)).drop("metadata")
+    scored = (engine or RuleEngine(thresholds=config.thresholds)).scores(language_filter(records, config.languages))
     return with_ids(dedup_stream(scored, ttl_seconds).filter(F.col("score") >= config.min_confidence))
 
 
@@ -67,7 +71,7 @@ def volume_stream(signals: DataFrame, by: str | None = None, seconds: int = 60,
     def watch(key, parts: Iterator, state) -> Iterator:
         import pandas as pd
 
-        rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
+        rows = pd.concat([p for p in parts if len(p)]).sort_values("seq", kind="stable")
         bucket, n, seen = state.get if state.exists else (None, 0, [])
         seen, out = list(seen), []
         for seq, t in zip(rows["seq"], rows["timestamp"]):
@@ -97,10 +101,54 @@ def event_time_counts(signals: DataFrame, seconds: int = 60, late: str = "10 min
     return timed.groupBy(F.window("at", f"{seconds} seconds")).agg(F.count("*").alias("n"))
 
 
-def alert_batches(config: Config, transport: Callable) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: delivers each micro-batch's alerts; repeated after a failure, so receivers go by signal_id."""
-
-    def send(batch: DataFrame, number: int) -> None:
-        dispatch(batch, config.notifications, transport)
-
-    return send
+def carried_anomalies(kept: DataFrame, state: str, number: int, seconds: int = 60, history: int = 60, threshold: float = 2.5, least: int = 10, block: int = BLOCK) -> DataFrame:
+    """Anomalies of micro-batch `number`, as volume_anomalies gives them for all batches so far; next_seq lies in this one.
+
+    What goes from batch to batch is one small table: the last `history` completed runs and the open one.  Each batch
+    writes its own, so one that is repeated after a failure starts from the same."""
+    spark = kept.sparkSession
+    kind = "run long, bucket long, n long"
+    # at most history + 1 rows
+    old = [tuple(r) for r in spark.read.schema(kind).parquet(f"{state}/{number - 1}").orderBy("run").collect()] if number else []
+    now = runs(timed(kept.select("seq", "timestamp")), bucket_of(seconds), block).withColumnRenamed("value", "bucket").select("run", "bucket", "n", "first_seq")
+    first = now.filter("run = 0").first()
+    on = bool(old and first and old[-1][1] == first["bucket"])
+    more = F.lit(old[-1][2] if on else 0)
+    if on:
+        old = old[:-1]
+    before = spark.createDataFrame([(k, b, n) for k, (_, b, n) in enumerate(old)], kind).withColumn("first_seq", F.lit(None).cast("long"))
+    now = now.select((F.col("run") + len(old)).alias("run"), "bucket", (F.col("n") + F.when(F.col("run") == 0, more).otherwise(0)).alias("n"), "first_seq")
+    all_ = before.unionByName(now).persist()
+    try:
+        n = all_.count()
+        all_.filter(F.col("run") >= n - history - 1).select(*(F.col(c).cast("long") for c in ("run", "bucket", "n"))).coalesce(1).write.mode("overwrite").parquet(f"{state}/{number}")
+        placed, w = framed(all_, "run", 0, 1, block)
+        completed = own_rows(placed.withColumn("next_seq", F.lead("first_seq").over(w)))
+        rows = flagged(completed, history, threshold, least, block)
+        # anomalies of one micro-batch; at most one for each bucket that ended in it
+        out = rows.persist()
+        out.count()
+        return out
+    finally:
+        all_.unpersist()
+
+
+def signal_batches(config: Config, output: str, transport: Callable = http_transport, seconds: int = 60) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch on monitor_stream: adds each micro-batch's anomalies, writes its signals to output/batch=number and
+    delivers its alerts.  A batch repeated after a failure is written over; receivers of alerts go by signal_id."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        found = None
+        try:
+            found = carried_anomalies(kept, f"{output}/_volume", number, seconds)
+            signals = with_anomalies(kept, found)
+            signals.write.mode("overwrite").parquet(f"{output}/batch={number}")
+            if config.notifications.enabled and config.notifications.webhooks:
+                dispatch(kept.sparkSession.read.schema(signals.schema).parquet(f"{output}/batch={number}"), config.notifications, transport)
+        finally:
+            kept.unpersist()
+            if found is not None:
+                found.unpersist()
+
+    return run

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -125,6 +126,49 @@ def test_steady_stream_and_row_index(spark):
     assert order.runs(rows, F.floor(F.col("timestamp") / 10), block=7).count() == 61
 
 
+def test_blocks_do_not_show(spark):
+    """Small blocks give what one block gives, also where runs go over their edges and times are out of order."""
+    rng = random.Random(4)
+    rows, t = [], 1e6
+    for k in range(600):
+        t += rng.choice([0, 0, 0, 3, 20, -15]) if rng.random() < 0.95 else 200
+        rows.append((3 * k + rng.randrange(3), t, rng.randrange(50) + (400 if k % 97 == 0 else 0)))
+    frame = spark.createDataFrame(rows, "seq long, timestamp double, x long")
+    as_set = lambda df: sorted(map(tuple, df.collect()))
+    for f in (
+        lambda block: order.runs(frame, F.floor(F.col("timestamp") / 10), block),
+        lambda block: anomaly.buckets(frame, 10, block),
+        lambda block: anomaly.volume_anomalies(frame, 10, history=12, threshold=1.0, least=3, block=block),
+        lambda block: anomaly.velocity_anomalies(frame, window=9, threshold=1.0, block=block),
+        lambda block: anomaly.sliding_stats(frame, F.col("x"), 15, block),
+    ):
+        want = as_set(f(order.BLOCK))
+        assert want and as_set(f(5)) == want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_anchors_against_walk(spark, seed):
+    rng = random.Random(seed)
+    times = sorted({rng.choice([rng.uniform(-500, 4000), float(rng.randrange(4000)), rng.uniform(9000, 9300)]) for _ in range(900)})
+    want = []
+    for t in times:
+        if not want or t >= want[-1] + 100:
+            want.append(t)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(times * 2)], "seq long, timestamp double")
+    for span in (1, 3, 16):
+        got = simulate.anchors(rows, 100.0, span).orderBy("window_id").collect()
+        assert [r.window_id for r in got] == list(range(len(want))) and [r.anchor for r in got] == want
+
+
+def test_metadata_is_merged(spark):
+    a = "struct<bucket: long, count: long, z_score: double, mean: double, std: double>"
+    rows = [(0, '{"b": 1, "volume_anomaly": 3}', (1, 2, 3.0, 4.0, 5.0)), (1, '{"volume_anomaly": 3}', None), (2, "bad", None), (3, None, (1, 2, float("inf"), 1.0, 0.0)), (4, "[1]", None)]
+    frame = spark.createDataFrame(rows, f"k int, m string, a {a}").select("k", detect.merged_metadata(F.col("m"), F.col("a")).alias("out"))
+    got = {r.k: json.loads(r.out) for r in frame.collect()}
+    assert got[0] == {"b": 1, "volume_anomaly": {"bucket": 1, "count": 2, "z_score": 3.0, "mean": 4.0, "std": 5.0}} and got[1] == {"volume_anomaly": 3}
+    assert got[2] == got[4] == {} and got[3]["volume_anomaly"]["z_score"] is None
+
+
 def test_replay_windows(spark):
     rows = spark.createDataFrame([(0, 500.0), (1, 100.0), (2, 105.0), (3, 200.0), (4, 305.0)], "seq long, timestamp double")
     assert [r.anchor for r in simulate.anchors(rows, 100).orderBy("anchor").collect()] == [100, 200, 305, 500]

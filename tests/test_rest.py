@@ -1,6 +1,8 @@
 import hashlib
 import hmac
 import json
+import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,10 +11,10 @@ from beaconry.cli import main
 from beaconry.config import Classification, Config, Notifications, Provider, Webhook
 from beaconry.operators import classify, notify, reports
 from beaconry.operators.classify import Classifier, TransportError, create_provider
-from beaconry.operators.evaluate import GoldenSet
+from beaconry.operators.evaluate import GoldenSet, boost
 from beaconry.pipeline import Pipeline
 from beaconry.sources import records as io
-from beaconry.streaming.monitor import monitor_stream, read_stream, volume_stream
+from beaconry.streaming.monitor import volume_stream
 
 GOLDEN = "example_id string, pos long, text string, true_labels array<string>, true_severity string"
 PREDICTION = "example_id string, pos long, predicted_labels array<string>, predicted_severity string, confidence double"
@@ -165,21 +167,122 @@ def test_webhooks_from_pipeline(spark, tmp_path):
     assert len(list(out.iterdir())) == got.signals.count()
 
 
+def arrive(folder, parts):
+    """Files that arrive one after another."""
+    folder.mkdir()
+    for k, lines in enumerate(parts):
+        (folder / f"{k}.jsonl").write_text("".join(lines))
+        os.utime(folder / f"{k}.jsonl", (1_700_000_000 + 10 * k,) * 2)
+
+
+def busy_lines(order=0):
+    """Two signals a minute with their metadata, and one minute that has many."""
+    times, t = [], 60_000.0
+    for k in range(40):
+        times += [t + j for j in range(25 if k in (20, 33) else 2 + k % 2)]
+        t += 60
+    return [json.dumps({"seq": k + order, "text": f"shooting at place {k if k % 4 else k % 60}", "timestamp": x, "metadata": {"k": k} | ({"volume_anomaly": "own"} if k % 50 == 7 else {})}) + "\n" for k, x in enumerate(times)]
+
+
+STREAMED = ("seq", "signal_id", "score", "severity", "metadata", "created_at", "volume_anomaly", "dedup_key")
+
+
+def as_rows(df):
+    return sorted((tuple(r[c] for c in STREAMED) for r in df.collect()), key=lambda x: x[0])
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    src = tmp_path / "in"
-    src.mkdir()
-    lines = feed_lines().splitlines(True)
-    for k in range(3):
-        (src / f"{k}.jsonl").write_text("".join(lines[20 * k : 20 * k + 20]))
-    out = monitor_stream(read_stream(spark, str(src), files=1)).select("seq", "dedup_key", "score", "timestamp")
-    w = out.writeStream.format("memory").queryName("kept").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    w.awaitTermination(120)
-    from beaconry.operators.detect import monitor
-
-    rows = spark.read.schema("seq long, text string, timestamp double").json(str(src))
-    batch = monitor(io.records_from(rows))
-    assert sorted(r.seq for r in spark.table("kept").collect()) == sorted(r.seq for r in batch.collect())
-    assert volume_stream(spark.readStream.schema("seq long, timestamp double").json(str(src))).isStreaming
+    lines = busy_lines()
+    for n in (1, 4):
+        arrive(tmp_path / f"in{n}", [lines[a : a + 37] for a in range(0, len(lines), 37)])
+        out = tmp_path / f"out{n}"
+        Pipeline(spark).stream(str(tmp_path / f"in{n}"), str(out), str(tmp_path / f"c{n}"), n, availableNow=True).awaitTermination(300)
+        batch = Pipeline(spark).run(io.parse_records(spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "seq long, value string"))).signals
+        want = as_rows(batch)
+        assert as_rows(spark.read.parquet(str(out))) == want
+    assert sum(r[6] is not None for r in want) == 2 and any('"own"' in r[4] for r in want)
+
+
+def test_stream_goes_by_arrival(spark, tmp_path):
+    lines = busy_lines()
+    parts = [lines[60:], lines[:60]]
+    arrive(tmp_path / "in", parts)
+    Pipeline(spark).stream(str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c"), 1, availableNow=True).awaitTermination(300)
+    got = sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    arrived = [json.loads(x) for x in parts[0] + parts[1]]
+    batch = Pipeline(spark).run(io.parse_records(spark.createDataFrame([(k, json.dumps(x)) for k, x in enumerate(arrived)], "seq long, value string"))).signals
+    assert got == sorted(arrived[r.seq]["seq"] for r in batch.collect())
+
+
+def test_stream_alerts(spark, tmp_path):
+    arrive(tmp_path / "in", [busy_lines()[:30], busy_lines()[30:60]])
+    sent = tmp_path / "sent"
+    sent.mkdir()
+
+    def transport(url, headers, body, timeout):
+        (sent / hashlib.md5(url.encode() + body).hexdigest()).write_bytes(body)
+        return b""
+
+    config = Config(notifications=Notifications(True, (Webhook("https://a"), Webhook("https://b", "key")), "P4"))
+    Pipeline(spark, config, transport=transport).stream(str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c"), 1, availableNow=True).awaitTermination(300)
+    assert len(list(sent.iterdir())) == 2 * spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def test_volume_stream(spark, tmp_path):
+    assert volume_stream(spark.readStream.schema("seq long, timestamp double").json(str(tmp_path))).isStreaming
+
+
+def counting(folder, answer):
+    folder.mkdir()
+
+    def transport(url, headers, body, timeout):
+        (folder / uuid.uuid4().hex).write_bytes(body)
+        return json.dumps({"choices": [{"message": {"content": answer(body)}}]}).encode()
+
+    return transport
+
+
+def test_one_call_for_each_signal(spark, tmp_path):
+    def answer(body):
+        if b"place 3" in body:
+            raise TransportError(400, "no")
+        return '{"labels": [{"type": "other", "confidence": 0.9}], "overall_severity": "P3"}'
+
+    calls = tmp_path / "calls"
+    c = Classifier(create_provider(Provider(), counting(calls, answer)))
+    rows = spark.createDataFrame([(str(k), f"place {k}", "s", "en") for k in range(10)], "signal_id string, text string, source string, language string")
+    got = c.classify(rows).collect()
+    assert len(got) == 10 == len(list(calls.iterdir())) and sum(r.requires_human_review for r in got) == 1
+    records = io.parse_records(spark.createDataFrame([(k, x) for k, x in enumerate(busy_lines()[:40])], "seq long, value string"))
+    r = Pipeline(spark, classifier=c).run(records)
+    n, s = r.signals.count(), r.summary().first()
+    assert r.sitreps.count() and r.classifications.count() == n == s.total_classifications and s.total_errors == 0
+    assert len(list(calls.iterdir())) == 10 + n
+
+
+def test_failed_classification_is_recorded(spark):
+    class Broken(Classifier):
+        def classify(self, signals):
+            return signals.select(F.raise_error(F.lit("down")).cast("string").alias("signal_id"))
+
+    records = io.parse_records(spark.createDataFrame([(0, '{"text": "shooting"}')], "seq long, value string"))
+    r = Pipeline(spark, classifier=Broken(create_provider())).run(records)
+    assert len(r.errors) == 1 and r.errors[0].startswith("Classification failed: ") and r.summary().first().total_errors == 1
+    assert r.classifications is None and r.signals.count() == 1
+
+
+def test_boosting_loop(spark, tmp_path):
+    """The model under-detects until its prompt says so."""
+
+    def answer(body):
+        kind = "self_harm" if b"Low recall on 'self_harm'" in body else "other"
+        return json.dumps({"labels": [{"type": kind, "confidence": 0.9}], "overall_severity": "P1"})
+
+    c = Classifier(create_provider(Provider(), counting(tmp_path / "calls", answer)))
+    g = GoldenSet(spark.createDataFrame([(f"G{k}", k, "text", ["self_harm"], "P1") for k in range(3)], GOLDEN))
+    rounds = [m.first().macro_f1 for m in boost(c, g)]
+    assert rounds == [0.0, 1.0] and len(list((tmp_path / "calls").iterdir())) == 6
+    assert any("self_harm" in m for m in c.failure_modes)
 
 
 def test_entry_survives_without_llm():
