@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-
+from ..storage import delete, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set to a local one only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="beaconry-")
-        spark.conf.set("spark.checkpoint.dir", f"file://{path}")
-        path = f"file://{path}"
-    return path.rstrip("/")
+U64 = np.uint64
 
 
 class Tables:
@@ -36,17 +27,13 @@ class Tables:
         self.n += 1
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*by) if by else writer).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
         out._beaconry_path = path
         return out
 
-    def drop(self, *dfs: DataFrame) -> None:
-        """Only for tables from which nothing unwritten still derives."""
-        jvm = self.spark._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in dfs:
-            path = jvm.org.apache.hadoop.fs.Path(df._beaconry_path)
-            path.getFileSystem(conf).delete(path, True)
+    def drop(self, df: DataFrame, part: str = "") -> None:
+        """Only for a table (or part of one) from which nothing unwritten still derives."""
+        delete(self.spark, f"{df._beaconry_path}/{part}")
 
 
 def batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -97,7 +84,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word bytes -> 64-bit hash, remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -136,22 +123,3 @@ def group_starts(*cols: np.ndarray) -> np.ndarray:
         for c in cols:
             new[1:] |= c[1:] != c[:-1]
     return np.flatnonzero(new)
-
-
-def split_blobs(keys: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Rows of a structured array gathered per key: the distinct keys, and each one's rows as bytes."""
-    order = np.argsort(keys, kind="stable")
-    keys, rec = keys[order], rec[order]
-    at = group_starts(keys)
-    raw, size = rec.tobytes(), rec.itemsize
-    ends = np.append(at[1:], len(keys))
-    return keys[at], [raw[a * size : b * size] for a, b in zip(at, ends)]
-
-
-def by_key(df: DataFrame, *cols: str | Column) -> DataFrame:
-    return df.repartition(parts(df.sparkSession), *cols)
-
-
-def merge_blobs(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key -> list of its blobs; for keys whose blobs are bounded by the size of one document."""
-    return df.groupBy(key).agg(F.collect_list("blob").alias("blobs"))

@@ -50,7 +50,8 @@ def by_id(frame, *cols):
     return {(-1 if r.doc_id is None else r.doc_id): tuple(r[c] for c in cols) for r in frame.collect()}
 
 
-def test_debruijn(docs, empty):
+@pytest.mark.parametrize("heavy", [debruijn.HEAVY, 300])
+def test_debruijn(docs, empty, heavy):
     seen, want = set(), {}
     for i, t in sorted(texts()):
         w = t.encode().split()
@@ -62,12 +63,12 @@ def test_debruijn(docs, empty):
             seen.add(key)
         kept = b" ".join(x for x, y in zip(w, keep) if y)
         want[i] = (len(w), keep.count(False), hashlib.sha256(kept).hexdigest())
-    assert by_id(debruijn.remove_repeats(docs), "n_words", "n_removed", "kept_sha256") == want
+    assert by_id(debruijn.remove_repeats(docs, heavy=heavy), "n_words", "n_removed", "kept_sha256") == want
     assert debruijn.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("split", [4096, 2])
-def test_suffix(docs, empty, split):
+@pytest.mark.parametrize("split, heavy, bound", [(4096, suffix.HEAVY, suffix.SHARD), (2, 300, 1000)])
+def test_suffix(docs, empty, split, heavy, bound):
     n = collections.Counter()
     for _, t in texts():
         b = t.encode()
@@ -81,7 +82,7 @@ def test_suffix(docs, empty, split):
                 keep[k : k + 200] = False
         runs = int((~keep & np.concatenate([[True], keep[:-1]])).sum()) if len(b) else 0
         want[i] = (len(b), int((~keep).sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[keep])).hexdigest())
-    assert by_id(suffix.remove_repeats(docs, split=split), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    assert by_id(suffix.remove_repeats(docs, split=split, heavy=heavy, bound=bound), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     assert suffix.remove_repeats(empty).count() == 0
 
 
