@@ -1,26 +1,35 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
 A document's set holds its distinct 5-word shingles (A-Z lower-cased).  Its sketch keeps the 1024 smallest shingle
-hashes in their order, 16 bits of each; the 12 smallest are kept whole.
+hashes in their order, 32 bits of each; the 16 smallest are kept whole.
 
 1. Documents with equal sets form a class; the smallest id stands for it in all that follows.
-2. Inverted lists of the 12 smallest values: two sets with a similarity of s or more share none of them with a
-   probability of (1 - s)^12 at most.  Lists of up to 64 classes give all their pairs.
-3. Longer lists (common passages, large groups of copies) give no pairs.  A class with fewer than 8 values in short
-   lists is listed again, under every run of six consecutive values of its 128 smallest (fewer for small sets): similar
-   sets share a run but for a probability of some 1e-8, sets that share a passage seldom do.  These lists are compared
-   whole, in blocks of bounded size, and each block gives a spanning forest of its likely links instead of all pairs.
-4. Union sketches estimate each pair's similarity.  For sets within the sketch this is never below the true one, as 16
-   bits can only match too often; for larger ones a pair must fall 0.08 below the threshold to go.
+2. Inverted lists of the 16 smallest values: two sets with a similarity of s share none of the first k of their union
+   with a probability of (1 - s)^k.  Lists of up to 64 classes give all their pairs.
+3. Longer lists (common passages, large groups of copies) give no pairs.  A class with fewer values in short lists than
+   make a missed link less likely than ODDS is listed again, under every run of consecutive values of its 192 smallest:
+   similar sets share a run, sets that share a passage seldom do.  The length of the runs follows from the size of the
+   set and the wanted similarity, as the longest (of up to six) that the sets share but for ODDS.  These lists are
+   compared whole, in blocks of bounded size, and each block gives a spanning forest of its links instead of all pairs.
+4. Union sketches estimate each pair's similarity.  For sets within the sketch this is the true one, but for equal 32
+   bits of unequal values (a chance of 2e-4 a pair at most, and of that to matter only for a pair just below the
+   threshold).  For larger ones it is off by 0.0125 (one deviation): a pair must fall 0.08 below the threshold to go, and
+   lie 0.08 above it to count as a link before it is confirmed.
 5. Full sets confirm links.  First each class with the partner that looks best; then all pairs that the components of
    these links leave apart, so copies of one text aren't confirmed pair by pair and no link between components is lost.
 
+ODDS is 1e-8, for a pair at the threshold; sets of fewer than a dozen shingles meet by single values, and miss with the
+probability that they share none, which is 0 where they link.
+
 A null or empty text has an empty set and links with nothing.  A null id counts as -1, and rows that share an id are
 one node.  Ties go to the smallest id.
 """
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,9 +39,11 @@ from pyspark.sql import functions as F
 from .common import HASHES, U64, Tables, arrow_map, batches, grams, mix, texts
 from .links import components, roots
 
-SKETCH, RUNS, HEAD, LIMIT, SAFE, BLOCK = 1024, 128, 12, 64, 8, 1024
-#: how far below the threshold an estimate from cut sketches may fall, and how far above it a link counts as likely
-BELOW, ABOVE = 0.08, 0.02
+SKETCH, RUNS, HEAD, LIMIT, BLOCK = 1024, 192, 16, 64, 1024
+#: how often a link at the threshold may be missed by each of the two kinds of lists
+ODDS = 1e-8
+#: how far off an estimate from cut sketches may be, either way
+OFF = 0.08
 
 
 def shingle_set(text: str, words: int = 5) -> np.ndarray:
@@ -48,7 +59,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             for t in texts(b):
                 s = shingle_set(t, words)
                 f = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None
-                for c, x in zip(out.values(), (len(s), *((None, None) if f is None else np.array([f >> 64, f & 2**64 - 1], U64).view(np.int64).tolist()), s[:HEAD].view(np.int64), s[:SKETCH].astype(np.uint16).tobytes())):
+                for c, x in zip(out.values(), (len(s), *((None, None) if f is None else np.array([f >> 64, f & 2**64 - 1], U64).view(np.int64).tolist()), s[:HEAD].view(np.int64), s[:SKETCH].astype(np.uint32).tobytes())):
                     c.append(x)
             yield {"doc_id": b.column(0), "doc": b.column(1)} | out
 
@@ -73,10 +84,31 @@ def list_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return arrow_map(lists, run, "a long, b long").distinct()
 
 
-def run_lengths(n: int, percent: int) -> set[int]:
+def safe_values(percent: int) -> int:
+    """So many short lists make it unlikely enough that a linked set shares none of them."""
+    return min(HEAD, math.ceil(math.log(ODDS) / math.log(1 - min(percent, 99) / 100)))
+
+
+@cache
+def run_length(n: int, percent: int) -> int:
+    """The longest run that sets of n at the threshold share but for ODDS."""
+    s, trials = percent / 100, min(n, RUNS) * percent // 100
+    for r in range(6, 1, -1):
+        # chance of no r hits in a row: state k is k hits so far
+        state = np.zeros(r)
+        state[0] = 1.0
+        for _ in range(trials):
+            state = np.concatenate([[state.sum() * (1 - s)], state[:-1] * s])
+        if state.sum() <= ODDS:
+            return r
+    return 1
+
+
+@cache
+def run_lengths(n: int, percent: int) -> frozenset[int]:
     """Lengths of the runs that a set of n is listed under: its own and those of the sizes that it may link with."""
-    rule = lambda x: 1 if x < 24 else 2 if x < 48 else 3 if x < 96 else 6
-    return {rule(n), rule(n * percent / 100), rule(n * 100 / percent)}
+    low, high = -(-n * percent // 100), n * 100 // percent
+    return frozenset(run_length(min(k, 2 * RUNS), percent) for k in range(min(low, 2 * RUNS), min(high, 2 * RUNS) + 1))
 
 
 def run_lists(rows: DataFrame, percent: int, tables: Tables) -> DataFrame:
@@ -86,7 +118,7 @@ def run_lists(rows: DataFrame, percent: int, tables: Tables) -> DataFrame:
         for b in it:
             out = {k: [] for k in ("key", "doc", "n")}
             for d, n, sk in zip(*(b.column(k).to_pylist() for k in range(3))):
-                s = np.frombuffer(sk, np.uint16)[:RUNS].astype(U64)
+                s = np.frombuffer(sk, np.uint32)[:RUNS].astype(U64)
                 for r in run_lengths(n, percent):
                     k = np.unique(mix(grams(s + U64(1), min(r, len(s))) + U64(r)).view(np.int64)).tolist()
                     for c, x in zip(out.values(), (k, [d] * len(k), [n] * len(k))):
@@ -100,11 +132,11 @@ def run_lists(rows: DataFrame, percent: int, tables: Tables) -> DataFrame:
 
 def codes(sketch: bytes, most: int) -> np.ndarray:
     """The first values of a sketch, made distinct by counting equal ones."""
-    x = np.sort(np.frombuffer(sketch, np.uint16)[:most]).astype(np.int32)
+    x = np.sort(np.frombuffer(sketch, np.uint32)[:most]).astype(np.int64)
     if len(x):
         new = np.concatenate([[True], x[1:] != x[:-1]])
         at = np.flatnonzero(new)
-        x += (np.arange(len(x)) - np.repeat(at, np.diff(np.append(at, len(x))))).astype(np.int32) << 16
+        x += (np.arange(len(x)) - np.repeat(at, np.diff(np.append(at, len(x))))).astype(np.int64) << 32
     return x
 
 
@@ -116,7 +148,7 @@ def similarity(shared, n, m):
 
 
 def least(n, m, percent):
-    return np.where(np.maximum(n, m) <= SKETCH, percent / 100 - 1e-9, percent / 100 - BELOW)
+    return np.where(np.maximum(n, m) <= SKETCH, percent / 100 - 1e-9, percent / 100 - OFF)
 
 
 def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -179,7 +211,7 @@ def block_pairs(lists: DataFrame, percent: int) -> DataFrame:
                 x, y = n[l][:, None], n[r]
                 sim = similarity(shared, x, y)
                 maybe = (sim >= least(x, y, percent)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (d[l][:, None] != d[r])
-                sure = maybe & (sim >= percent / 100 + ABOVE) & (np.maximum(x, y) <= SKETCH)
+                sure = maybe & ((np.maximum(x, y) <= SKETCH) | (sim >= percent / 100 + OFF))
                 out.append(forest(sim, sure, maybe, d[l], d[r]))
             a, c = np.unique(np.stack([np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])]), axis=1)
             yield {"a": a, "b": c}
@@ -255,7 +287,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     short = list_pairs(listed.filter(F.col("c") <= LIMIT).groupBy("value").agg(F.collect_list(F.struct("doc", "n")).alias("rows")).select("rows"), percent)
     # classes that short lists alone don't cover
     long_ = listed.filter(F.col("c") > LIMIT).groupBy("doc").agg(F.count("*").alias("long"))
-    open_ = reps.join(long_, "doc").filter(F.size("head") - F.col("long") < SAFE).select("doc").join(sk.select("doc", "n", "sketch"), "doc")
+    open_ = reps.join(long_, "doc").filter(F.size("head") - F.col("long") < safe_values(percent)).select("doc").join(sk.select("doc", "n", "sketch"), "doc")
     pairs = short.unionByName(block_pairs(run_lists(open_, percent, tables), percent)).distinct()
     pairs = tables.cut(pairs)
     # sketches move once, to those that have a pair
