@@ -32,7 +32,7 @@ RUNS = re.compile(r"(?P<U>[^\W\d_a-zß-öø-ÿ]+)|(?P<L>[^\W\d_]+)|(?P<N>\d+)|(?
 class Shapes(dict):
     """Piece of a word -> bucket of its shape, remembered up to a bound."""
 
-    LIMIT, PIECE = 400_000, 200
+    LIMIT, PIECE = 150_000, 200
 
     def pieces(self, words: list[str]) -> list[str]:
         """The words, long ones cut into consecutive pieces."""
@@ -43,7 +43,7 @@ class Shapes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        shape = RUNS.sub(lambda m: m.lastgroup.lower() if m.lastgroup != "S" else m[0][:3], word)
+        shape = RUNS.sub(lambda m: m.lastgroup.lower() if m.lastgroup != "S" else m[0], word)
         h = self[word] = xxhash.xxh3_64_intdigest(shape.encode("utf8", "surrogatepass")) % BUCKETS
         return h
 
@@ -72,7 +72,7 @@ def vote_repeats(t: "Text") -> int:
 
 
 def vote_vocabulary(t: "Text") -> int:
-    return (GOOD if t.distinct >= 0.5 * t.n else BAD if t.distinct <= 0.25 * t.n else 0) if 40 <= t.n <= 1000 else 0
+    return between(1 - t.distinct / t.n, 0.5, 0.75) if t.n >= 40 else 0
 
 
 def vote_exclamations(t: "Text") -> int:
@@ -112,7 +112,8 @@ class Text:
         words = text.split()
         self.n, self.size = len(words), len(data)
         self.bytes = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-        self.distinct = len(set(words))
+        # by stretches of a hundred words, so that long texts aren't called poor for being long
+        self.distinct = sum(len(set(words[k : k + 100])) for k in range(0, len(words), 100))
         self.repeats = repeats(words)
         pieces = SHAPES.pieces(words)
         self.features = 2 * np.fromiter(map(SHAPES.__getitem__, pieces), np.int64, len(pieces)) + (self.repeats if pieces is words else repeats(pieces))
@@ -164,14 +165,13 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.weights[t.features].mean() + self.bias, -40, 40))) if t.n else 0.0
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, ridge: float = 3e-5, columns: int = 800, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic fit by Newton steps; rows are distinct feature numbers and how often each occurs.
-
-    Features that most texts of the sample share come first, up to `columns`; the others weigh nothing."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, ridge: float = 3e-5, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic fit by Newton steps, each solved by conjugate gradients; rows are distinct feature
+    numbers and how often each occurs.  Features that stand in one text of the sample weigh nothing."""
     seen = np.zeros(2 * BUCKETS, np.int64)
     for f, _ in rows:
         seen[f] += 1
-    use = np.argsort(-seen, kind="stable")[: min(columns, int((seen > 1).sum()))]
+    use = np.flatnonzero(seen > 1)
     x = np.ones((len(rows), len(use) + 1))
     for k, (f, n) in enumerate(rows):
         x[k, 1:] = np.bincount(f, weights=n, minlength=2 * BUCKETS)[use] / max(1, n.sum())
@@ -179,7 +179,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, ridge:
     penalty[0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - target) + penalty * w)
+        curve = p * (1 - p)
+        step = conjugate_gradients(lambda v: x.T @ (curve * (x @ v)) + penalty * v, x.T @ (p - target) + penalty * w, (x * x).T @ curve + penalty)
         w -= np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
@@ -188,6 +189,24 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, ridge:
     return weights, float(w[0])
 
 
+def conjugate_gradients(product, right: np.ndarray, diagonal: np.ndarray, rounds: int = 500) -> np.ndarray:
+    """Solution of a positive definite system, given the product with its matrix and that one's diagonal."""
+    x, r = np.zeros_like(right), right.copy()
+    y = r / diagonal
+    d, old = y.copy(), float(r @ y)
+    for _ in range(rounds):
+        if np.abs(r).max() <= 1e-10 * max(1.0, np.abs(right).max()):
+            break
+        q = product(d)
+        a = old / float(d @ q)
+        x += a * d
+        r -= a * q
+        y = r / diagonal
+        new = float(r @ y)
+        d, old = y + new / old * d, new
+    return x
+
+
 def fit(docs: DataFrame, sample: int = 4000) -> Scorer:
     """sample: so many distinct texts, those of the least hashes, train the scorer; the votes are those of all texts."""
     batches(docs.sparkSession)
