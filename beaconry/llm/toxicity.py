@@ -5,8 +5,9 @@ letters inside words that have letters (1d10t, $cum), all other signs to single
 beginnings of words; a match inside an exception phrase doesn't count.  Weighted matches, as a sum and as a rate by
 length, go through a logistic function.
 
-The lexicon and the logistic weights are learned from labelled rows: entries are the words and beginnings of words that
-occur in toxic texts far more often than chance allows.  Ids, languages, sources and labels are no inputs of a score.
+The lexicon, the exception phrases and the logistic weights are learned from labelled rows: entries are the words and
+beginnings of words that occur in toxic texts far more often than chance allows, exception phrases the pairs of words
+around an entry that stand in unrelated clean texts and in no toxic one.  Ids, languages, sources and labels are no inputs of a score.
 
 Null and empty texts have no matches and get the score of such texts.  Labels that are null are left out; an id with
 several labels counts as its largest.  Without a toxic label nothing is learned and scores are 0.
@@ -27,17 +28,13 @@ from pyspark.sql import functions as F
 from .common import arrow_map, batches, texts
 
 #: Cyrillic and Greek letters that look like Latin ones
-HOMOGLYPHS = dict(zip("абвгезікмнорстухѕјԁһⅼϲ", "a6rre3ikmhopctyxsjdhlc")) | dict(zip("αβεικνορτυχ", "abeiknoptux")) | {"ı": "i", "ɡ": "g", "ａ": "a", "ｅ": "e", "ｉ": "i", "ｏ": "o"}
-HOMOGLYPHS |= {"в": "b", "г": "r", "з": "e", "н": "h"}
+HOMOGLYPHS = dict(zip("абвгезікмнорстухѕјԁһⅼϲ", "a6breeikmhopctyxsjdhlc")) | dict(zip("αβεικνορτυχ", "abeiknoptux")) | {"ı": "i", "ɡ": "g", "ａ": "a", "ｅ": "e", "ｉ": "i", "ｏ": "o"}
 INVISIBLE = "​‌‍⁠﻿­"
 DIGITS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"})
 TABLE = str.maketrans(HOMOGLYPHS | {c: None for c in INVISIBLE})
 MIXED = re.compile(r"(?<![\w@$!|€])(?=[\w@$!|€]*[^\W\d_])[@$|€]?\w+(?:[@$!|€]+\w+)*")
 HINT = re.compile(r"[^\W\d_][0-9@$!|€]+\w|[0-9@$|€]\w")
 SIGNS = re.compile(r"[\W_]+")
-EXCEPTIONS = ("clown fish", "trash can", "trash bin", "stupid mistake of mine", "hair loser", "idiot proof")
-
-
 def fold(text: str) -> str:
     """Folded words with single spaces around each."""
     t = text.lower()
@@ -52,7 +49,7 @@ def fold(text: str) -> str:
 class Model:
     lexicon: dict[str, float] = field(default_factory=dict)  # " beginning" or " word " -> weight
     weights: tuple[float, ...] = (-50.0, 0.0, 0.0)
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
 
     def __post_init__(self):
         self.automaton = None
@@ -145,6 +142,14 @@ def kin(text: str) -> int:
     return min((xxhash.xxh3_64_intdigest(" ".join(w[k : k + 3])) for k in range(max(1, len(w) - 2))), default=0)
 
 
+def around(model: Model, text: str) -> set[str]:
+    """Pairs of neighbouring words of which one matches."""
+    t = fold(text)
+    hit = {t[e - len(x) + 2 : t.index(" ", e - len(x) + 2)] for e, x in model.matches(t)}
+    w = t.split() if hit else []
+    return {f"{a} {b}" for a, b in zip(w, w[1:]) if a in hit or b in hit}
+
+
 def spread(lexicon: dict[str, float], found: list[tuple[int, list[str]]], share: float = 0.5) -> dict[str, float]:
     """Entries of unrelated texts: many copies of one toxic text make none of its other words entries."""
     n, kinds = Counter(), {}
@@ -169,10 +174,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, candidates: int = 50_000, longest: int = 9) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, longest: int = 9) -> Model:
     """Model from labelled texts: at most `rows` of them, those with the smallest hashes of their ids.
 
-    labels: doc_id, toxic.  The most frequent `candidates` features of toxic texts are considered."""
+    labels: doc_id, toxic.  Entries are whole words of any length, or beginnings of words of 3 to `longest` letters.  All
+    features of three toxic texts or more are considered; they are those of the sample, so `rows` bounds them."""
     batches(docs.sparkSession)
     chosen = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts_ = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null").groupBy(F.xxhash64("text"), F.length("text")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
@@ -194,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, candidates: int
     sizes = {r["toxic"] > 0: r["n"] for r in texts_.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(True):
         return Model()
-    wanted = {r["f"] for r in counted(texts_.filter("toxic > 0"), None).filter("a >= 3").orderBy(F.desc("a"), "f").limit(candidates).collect()}
+    wanted = {r["f"] for r in counted(texts_.filter("toxic > 0"), None).filter("a >= 3").collect()}
     counts = {r["f"]: (r["a"], r["b"]) for r in counted(texts_, wanted).collect()}
     model = Model(select_entries(counts, sizes[True], sizes.get(False, 0)))
 
@@ -205,6 +211,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, candidates: int
     # at most `rows` lists
     model = Model(spread(model.lexicon, [tuple(r) for r in arrow_map(texts_.filter("toxic > 0").select("text"), listed, "kin long, entries array<string>").collect()]))
 
+    def placed(it):
+        for b in it:
+            found = [(around(model, t), t, y) for t, y in zip(texts(b), b.column(1).to_pylist())]
+            rows = [(x, k, y) for some, k, y in [(some, kin(t) >> 1, y) for some, t, y in found if some] for x in some]
+            yield {k: [r[i] for r in rows] for i, k in enumerate(("phrase", "kin", "toxic"))}
+
+    # phrases of the sample: `rows` bounds them
+    clean = arrow_map(texts_, placed, "phrase string, kin long, toxic int").groupBy("phrase").agg(F.max("toxic").alias("toxic"), F.count_distinct("kin").alias("n")).filter("toxic <= 0 and n >= 3").orderBy("phrase")
+    model = Model(model.lexicon, exceptions=tuple(r["phrase"] for r in clean.collect()))
+
     def measure(it):
         for b in it:
             x = [model.features(t)[:2] for t in texts(b)]

@@ -320,6 +320,29 @@ def test_toxicity(spark, empty):
     assert m.features("pond scum")[0] == 0 < m.features("scum")[0]
 
 
+def test_toxicity_learns_exceptions(spark):
+    rng = random.Random(5)
+    prose = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
+    rows = [(k, " ".join([*prose(20), *(["pond", "scum"] if k % 40 == 1 else ["filthy", "scum"] if k % 4 == 0 else []), *prose(20)]), int(k % 4 == 0)) for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.fit(frame.drop("toxic"), frame.drop("text"))
+    assert "pond scum" in m.exceptions and "filthy scum" not in m.exceptions
+    got = by_id(toxicity.score_toxicity(frame, m), "predicted")
+    assert all(got[k] == (y,) for k, _, y in rows)
+
+
+def test_matcher_against_plain_search():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 6)))
+    for _ in range(50):
+        lexicon = {f" {word()}" + " " * rng.randint(0, 1): 1.0 for _ in range(8)}
+        free = tuple(f"{word()} {word()}" for _ in range(3))
+        text = " " + " ".join(word() for _ in range(60)) + " "
+        spans = [(k, k + len(x) + 1) for x in free for k in range(len(text)) if text.startswith(f" {x} ", k)]
+        want = sorted((k + len(x) - 1, x) for x in lexicon for k in range(len(text)) if text.startswith(x, k) and not any(a <= k and k + len(x) - 1 <= b for a, b in spans))
+        assert sorted(toxicity.Model(lexicon, exceptions=free).matches(text)) == want
+
+
 def test_quality(spark, empty):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rows = quality.score_quality(d).join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()
