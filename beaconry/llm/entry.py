@@ -85,5 +85,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .licenses import license_sql
+    from .oracle import ORACLE
 
-    return {"op10_license_scan": license_sql()}
+    return ORACLE | {"op10_license_scan": license_sql()}
