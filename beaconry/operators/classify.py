@@ -36,6 +36,7 @@ Classification rules:
 3. Context matters: "shooting" in a sports context is not violent_extremism
 4. Urgency is separate from confidence -- a confirmed P4 event has high confidence but low urgency
 5. When uncertain, flag for human review rather than suppressing the signal"""
+# fixed values: prompts, cut where columns go in
 USER_PROMPT = (
     "Analyze the following text and classify it according to crisis type.\n\nTEXT:\n",
     "\n\nSOURCE: ",
@@ -80,6 +81,13 @@ def boosted_prompt(failure_modes: list[str], notes: list[str]) -> str:
     return a + bullets(failure_modes, NO_FAILURES) + b + bullets(notes, NO_NOTES) + c + SYSTEM_PROMPT
 
 
+def boosted_prompt_of(modes: Column) -> Column:
+    """The boosted prompt of an array of failure modes, without calibration notes."""
+    a, b, c = BOOSTED_PROMPT
+    bullets = F.array_join(F.transform(modes, lambda m: F.concat(F.lit("- "), m)), "\n")
+    return F.concat(F.lit(a), F.when(F.size(modes) > 0, bullets).otherwise(F.lit(NO_FAILURES)), F.lit(b + NO_NOTES + c + SYSTEM_PROMPT))
+
+
 def unfenced(raw: Column) -> Column:
     """The lines inside a leading code fence, up to the closing one or the end; other text without outer white space."""
     clean = strip(raw)

@@ -29,6 +29,12 @@ SELECT doc_id AS seq,
                                    THEN doc_id - doc_id % 400 + 300 ELSE doc_id END AS DOUBLE) AS timestamp
 FROM documents"""
 
+#: the feed's phrases in front of whole documents, and a phrase of the category that the feed lacks
+POSTS = f"""
+SELECT f.seq, CASE f.seq % 10 WHEN 9 THEN 'grooming of an underage user' ELSE f.text END || chr(10) || coalesce(d.text, '') AS text,
+       f.source, f.language, f.timestamp
+FROM ({FEED}) f JOIN documents d ON d.doc_id = f.seq"""
+
 GOLDEN = """
 SELECT 'EX-' || CAST(doc_id AS STRING) AS example_id, doc_id AS pos, 'example ' || CAST(doc_id AS STRING) AS text,
        CASE WHEN toxic = 1 AND quality = 0 THEN 'coordinated_harassment|misinformation'
@@ -62,7 +68,7 @@ SELECT doc_id AS seq, 'S-' || CAST(doc_id AS STRING) AS signal_id,
          ELSE '{"overall_severity": "P4"}' END AS response
 FROM documents"""
 
-SQL = {"feed": FEED, "golden": GOLDEN, "predictions": PREDICTIONS, "responses": RESPONSES}
+SQL = {"feed": FEED, "posts": POSTS, "golden": GOLDEN, "predictions": PREDICTIONS, "responses": RESPONSES}
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +76,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table = "labels" if name in ("golden", "predictions") else "documents"
     view = f"beaconry_{table}"
     spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(view)
-    out = spark.sql(SQL[name].replace(f"FROM {table}", f"FROM {view}"))
+    out = spark.sql(SQL[name].replace(f"FROM {table}", f"FROM {view}").replace(f"JOIN {table}", f"JOIN {view}"))
     if name in ("golden", "predictions"):
         out = out.withColumn("labels", F.filter(F.split("labels", "[|]"), lambda x: x != ""))
         out = out.withColumnRenamed("labels", "true_labels" if name == "golden" else "predicted_labels")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from ..config import SEVERITY_DESCRIPTIONS
 from ..functions.vocabulary import LANGUAGES, TERMS, TYPE_OF, terms_for
 from ..operators.classify import BOOSTED_PROMPT, NO_NOTES, SYSTEM_PROMPT, USER_PROMPT
 from ..operators.reports import ACTIONS, HIGH
-from .inputs import FEED, GOLDEN, PREDICTIONS, RESPONSES
+from .inputs import FEED, GOLDEN, POSTS, PREDICTIONS, RESPONSES
 
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOW = "TIMESTAMP '2024-01-01 05:00:00'"
@@ -122,7 +123,10 @@ CTE = {
     "items": "SELECT signal_id, i, json_extract_string(j, '$.labels[' || i || '].type') AS incident_type, greatest(0, least(1, coalesce(TRY_CAST(json_extract_string(j, '$.labels[' || i || '].confidence') AS DOUBLE), 0)))::DOUBLE AS confidence, coalesce(json_extract_string(j, '$.labels[' || i || '].reasoning'), '') AS reasoning FROM listed",
     "labelled": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY confidence DESC, i) - 1 AS pos FROM items WHERE confidence >= 0.6 AND incident_type IN ('political_unrest', 'natural_disaster', 'platform_manipulation', 'coordinated_harassment', 'child_safety', 'violent_extremism', 'self_harm', 'misinformation', 'data_breach', 'regulatory', 'other')) WHERE pos < 3",
 }
+# the same rules over whole texts
+CTE |= {"posts": POSTS} | {f"p_{x}": CTE[x].replace(f"FROM {y}", f"FROM {z}") for x, y, z in (("ruled", "feed", "posts"), ("totals", "ruled", "p_ruled"), ("rated", "totals", "p_totals"), ("scored", "rated", "p_rated"))}
 NEEDS = {
+    "p_ruled": ["posts"], "p_totals": ["p_ruled"], "p_rated": ["p_totals"], "p_scored": ["p_rated"],
     "ruled": ["feed"], "totals": ["ruled"], "rated": ["totals"], "scored": ["rated"], "ranked": ["scored"], "kept": ["ranked"], "ids": ["kept"],
     "m": ["kept"], "signals": ["ids", "m"], "batched": ["signals", "feed"], "high": ["batched"], "incidents": ["high"], "mentions": ["incidents"], "typed": ["mentions"], "facts": ["incidents"],
     "golden": ["golden_rows"], "predictions": ["prediction_rows"], "pairs": ["golden", "predictions", "cuts"], "universe": ["golden"], "cells": ["pairs", "universe"],
@@ -164,6 +168,9 @@ ORACLE["keyword_documents"] = f"SELECT doc_id AS seq, round(CASE lang {_own} ELS
 _found = " + ".join(f"CAST(regexp_matches(text, {q(p)}, 'i') AS INT)" for p in (r"https?://\S+", r"case \d*7\b", r"ATTENTAT|tornado"))
 add("pattern_rule", f"SELECT seq, round(least(0.4::DOUBLE + ({_found})::DOUBLE / 3 * 0.6::DOUBLE, 1), 6) AS score FROM feed WHERE {_found} > 0", "feed")
 add("rule_engine", "SELECT seq, round(score, 6) AS score, severity, matched_rules, suggested_types, dedup_key FROM scored", "scored")
+add("keyword_posts", "SELECT seq, " + ", ".join(f"round({keyword([c])}, 6) AS {c}" for c in TERMS) + " FROM posts", "posts")
+add("rule_engine_posts", "SELECT seq, round(score, 6) AS score, severity, matched_rules, suggested_types, dedup_key FROM p_scored", "p_scored")
+add("signal_metadata", "SELECT seq, seq AS k, coalesce(anomaly_count, CASE WHEN seq % 3 = 0 THEN -1 END) AS anomaly_count, anomaly_bucket FROM signals", "signals")
 add("matched_rules", "SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(matched_rules, ',')) AS rule FROM scored) GROUP BY rule", "scored")
 add("suggested_types", "SELECT suggested_types AS types, count(*) AS n FROM scored GROUP BY 1", "scored")
 ORACLE["dedup_key"] = f"SELECT doc_id AS seq, {KEY} AS dedup_key FROM documents"
@@ -184,7 +191,7 @@ add("volume_anomaly", f"SELECT bucket, n AS count, round(z, 6) AS z_score, round
 _z = z("d", "n0", "s0", "q0")
 add("velocity_anomaly", f"SELECT seq, d::DOUBLE AS delta, round({_z}, 6) AS z_score, round({_mean1}, 6) AS mean_delta FROM (SELECT *, {frames('d', 30, 'seq')} FROM (SELECT seq, x - lag(x) OVER (ORDER BY seq) AS d FROM counts) WHERE d IS NOT NULL) WHERE n0 >= 5 AND {_z} > 3", "counts")
 add("sliding_stats", f"SELECT seq, n1 AS n, round({_mean1}, 6) AS mean, round({_std1}, 6) AS std, round({z('x', 'n0', 's0', 'q0')}, 6) AS z_score FROM (SELECT *, {frames('x', 20, 'seq')} FROM counts) WHERE seq >= 2", "counts")
-add("row_batches", "SELECT seq, (row_number() OVER (ORDER BY seq) - 1) // 64 AS batch FROM feed WHERE seq % 3 <> 1", "feed")
+add("row_batches", "SELECT seq * 3 + seq % 2 AS seq, (row_number() OVER (ORDER BY seq) - 1) // 64 AS batch FROM feed", "feed")
 _half = "threshold = 0.5::DOUBLE"
 add("golden_join", f"SELECT example_id, pos, array_to_string(true_labels, ',') AS true_labels, true_severity, found, array_to_string(counted, ',') AS counted_labels, predicted_severity, confidence FROM pairs WHERE {_half}", "pairs")
 add("label_universe", "SELECT label FROM universe", "universe")
@@ -220,13 +227,34 @@ add("sitrep_signals", "SELECT incident_id, seq, signal_id FROM (SELECT *, row_nu
 add("sitrep_classifications", """SELECT incident_id, string_agg(t, ',' ORDER BY place) AS incident_types FROM (SELECT incident_id, t, min(place) AS place FROM
 (SELECT incident_id, t, (0, place[1], place[2]) AS place FROM mentions UNION ALL SELECT i.incident_id, l.incident_type, (1, i.seq, l.pos + 1) FROM incidents i JOIN labelled l ON l.signal_id = 'S-' || i.seq)
 GROUP BY ALL) GROUP BY incident_id""", "mentions", "labelled")
-add("handover", "SELECT count(*)::INT AS active, 2 AS taken, 2 AS pending, CASE WHEN count(*) FILTER (low) > 0 THEN count(*) FILTER (low) || ' low-severity signals under monitoring. Types: ' || (SELECT string_agg(DISTINCT t, ', ' ORDER BY t) FROM mentions WHERE incident_id < 'INC-SIG-20240101-02') || '.' ELSE '' END AS emerging_signals_summary FROM (SELECT incident_id < 'INC-SIG-20240101-02' OR severity IN ('P3', 'P4') AS low FROM facts)", "facts", "mentions")
+_wording = " ".join(f"WHEN '{k}' THEN {q(v)}" for k, v in SEVERITY_DESCRIPTIONS.items())
+CTE["shown"] = "SELECT incident_id, string_agg('- `' || signal_id || '` [' || severity || '] ' || substring(text, 1, 120) || '...', chr(10) ORDER BY seq) AS raw FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY seq) AS k FROM incidents) WHERE k <= 5 GROUP BY incident_id"
+CTE["todo"] = f"SELECT incident_id, string_agg(n || '. **[' || upper(priority) || ']** ' || action || ' (Owner: ' || owner || ')', chr(10) ORDER BY n) AS acts FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY place, k) AS n FROM mentions JOIN (VALUES {_templates}) a(t, k, action, priority, owner) USING (t)) GROUP BY incident_id"
+NEEDS |= {"shown": ["incidents"], "todo": ["mentions"]}
+_lines = [
+    f"'# SITREP: ' || {_title}", "''", "'**Incident ID:** ' || incident_id", f"'**Severity:** ' || severity || ' — ' || CASE severity {_wording} END", "'**Status:** active'", "'**Types:** ' || coalesce(replace(incident_types, ',', ', '), '')",
+    "'**Created:** 2024-01-01T05:00:00+00:00'", "''", "'## Summary'", "''", _summary, "''", "'## Metrics'", "''", "'| Metric | Value |'", "'|--------|-------|'", "'| Signals detected | ' || signal_count || ' |'", "'| Unique sources | ' || unique_sources || ' |'",
+    "'| Languages | ' || replace(languages, ',', ', ') || ' |'", "'| First seen | N/A |'", "'| Last seen | N/A |'", "'| Peak velocity | 0.0 signals/min |'", "''", "'## Recommended Actions'", "''", "coalesce(acts, '_No actions recommended._')", "chr(10) || '## Raw Signals' || chr(10) || chr(10) || raw",
+]
+add("sitrep_markdown", f"SELECT incident_id, concat_ws(chr(10), {', '.join(_lines)}) || chr(10) AS markdown FROM facts LEFT JOIN typed USING (incident_id) LEFT JOIN todo USING (incident_id) LEFT JOIN shown USING (incident_id)", "facts", "typed", "todo", "shown")
+CTE["shift"] = f"SELECT incident_id, CASE WHEN incident_id < 'INC-SIG-20240101-02' THEN 'P3' ELSE severity END AS level, ('0x' || substring(md5(incident_id), 1, 8))::BIGINT AS pos, {_title} AS title, incident_types, {_summary} AS summary FROM facts LEFT JOIN typed USING (incident_id)"
+CTE["calm"] = "SELECT coalesce((SELECT count(*) || ' low-severity signals under monitoring. Types: ' FROM shift WHERE level IN ('P3', 'P4') HAVING count(*) > 0) || (SELECT coalesce(string_agg(DISTINCT t, ', ' ORDER BY t), '') FROM mentions JOIN shift USING (incident_id) WHERE level IN ('P3', 'P4')) || '.', '') AS calm"
+NEEDS |= {"shift": ["facts", "typed"], "calm": ["shift", "mentions"]}
+add("handover", "SELECT (SELECT string_agg(incident_id || ':' || level || ':' || title, ';' ORDER BY level, pos) FROM shift) AS active, 'completed:Called the desk;escalated:Ask legal' AS taken, 'pending:Check the feed;deferred:Tidy rules' AS pending, 'INC-1' AS resolved, calm AS emerging_signals_summary, '2024-01-01T05:00:00+00:00' AS shift_start, 'kim' AS analyst, 'calm' AS notes FROM calm", "shift", "calm")
+_incident = "'- **' || incident_id || '** [' || level || '] ' || title || ' (' || coalesce(replace(incident_types, ',', ', '), '') || ') -- active' || chr(10) || '  - ' || substring(summary, 1, 200)"
+_parts = [
+    "'# Shift Handover Summary'", "'**Shift:** 2024-01-01T05:00:00+00:00 -- 2024-01-01T05:00:00+00:00' || chr(10) || '**Analyst:** kim'", "'## Active Incidents'", f"(SELECT string_agg({_incident}, chr(10) ORDER BY level, pos) FROM shift)", "'## Resolved This Shift'", "'- INC-1'",
+    "'## Actions Taken'", "'- [COMPLETED] Called the desk (ana)' || chr(10) || '- [ESCALATED] Ask legal'", "'## Pending / Requires Follow-up'", "'- **Check the feed**' || chr(10) || '  - again at noon' || chr(10) || '- **Tidy rules** (Owner: bo)'",
+    "CASE WHEN calm <> '' THEN '## Emerging Signals' || chr(10) || chr(10) || calm END", "'## Analyst Notes'", "'calm'",
+]
+add("handover_markdown", f"SELECT concat_ws(chr(10) || chr(10), {', '.join(_parts)}) || chr(10) AS markdown FROM calm", "shift", "calm")
 add("llm_fence", "SELECT seq, body FROM bodies", "bodies")
 add("llm_parse", "SELECT signal_id, CASE WHEN good AND json_extract_string(j, '$.overall_severity') IN ('P0', 'P1', 'P2', 'P3', 'P4') THEN json_extract_string(j, '$.overall_severity') ELSE 'P4' END AS severity, CASE WHEN good THEN coalesce(TRY_CAST(json_extract_string(j, '$.requires_human_review') AS BOOLEAN), false) ELSE true END AS requires_human_review, CASE WHEN good THEN json_extract_string(j, '$.escalation_note') ELSE 'Failed to parse LLM response as JSON' END AS escalation_note FROM parsed", "parsed")
 add("llm_labels", "SELECT signal_id, pos::INT AS pos, incident_type, round(confidence, 6) AS confidence, reasoning FROM labelled", "labelled")
 add("primary_type", "SELECT p.signal_id, max(l.incident_type) FILTER (l.pos = 0) AS primary_type, round(coalesce(max(l.confidence), 0), 6)::DOUBLE AS max_confidence FROM parsed p LEFT JOIN labelled l USING (signal_id) GROUP BY p.signal_id", "parsed", "labelled")
 _p = [q(x) for x in USER_PROMPT]
 add("classification_prompt", f"SELECT seq, {_p[0]} || text || {_p[1]} || source || {_p[2]} || language || {_p[3]} AS prompt FROM feed", "feed")
+add("prompt_posts", f"SELECT seq, sha256({_p[0]} || text || {_p[1]} || source || {_p[2]} || language || {_p[3]}) AS prompt FROM posts", "posts")
 ORACLE["backoff_schedule"] = "SELECT k AS attempt, least(power(2::DOUBLE, k), 30::DOUBLE) AS seconds FROM (SELECT unnest(range(8)) AS k)"
 _list = lambda c: f"'[' || CASE WHEN {c} = '' THEN '' ELSE '\"' || replace({c}, ',', '\",\"') || '\"' END || ']'"
 _body = f"""'{{"alert_type":"signal","signal_id":"' || signal_id || '","severity":"' || severity || '","score":' || CAST(round(score, 4) AS VARCHAR) || ',"text":"' || substring(text, 1, 500) || '","source":"' || source || '","language":"' || language || '","matched_rules":' || {_list('matched_rules')} || ',"suggested_types":' || {_list('suggested_types')} || ',"created_at":"' || created_at || '"}}'"""

@@ -99,6 +99,36 @@ def keyword_documents(spark, d):
     return docs.select("seq", r6(rule.score()).alias("score"))
 
 
+def posts(spark, d):
+    return derived(spark, d, "posts")
+
+
+@query
+def keyword_posts(spark, d):
+    """All categories over whole texts."""
+    return posts(spark, d).select("seq", *[r6(KeywordRule(c, [c]).score()).alias(c) for c in TERMS])
+
+
+@query
+def rule_engine_posts(spark, d):
+    out = RuleEngine().scores(posts(spark, d))
+    return out.select("seq", r6("score").alias("score"), "severity", joined("matched_rules").alias("matched_rules"), joined("suggested_types").alias("suggested_types"), "dedup_key")
+
+
+@query
+def prompt_posts(spark, d):
+    prompt = classify.user_prompt(F.col("text"), F.col("source"), F.col("language"))
+    return posts(spark, d).select("seq", F.sha2(prompt, 256).alias("prompt"))
+
+
+@query
+def signal_metadata(spark, d):
+    """A record's own metadata, and the anomaly that takes the place of a value of its name."""
+    rows = feed(spark, d).withColumn("metadata", F.concat(F.lit('{"k": '), F.col("seq").cast("string"), F.when(F.col("seq") % 3 == 0, ', "volume_anomaly": {"count": -1}').otherwise(""), F.lit("}")))
+    get = lambda path: F.get_json_object("metadata", path).cast("long")
+    return detect.monitor(rows).select("seq", get("$.k").alias("k"), get("$.volume_anomaly.count").alias("anomaly_count"), get("$.volume_anomaly.bucket").alias("anomaly_bucket"))
+
+
 @query
 def pattern_rule(spark, d):
     rule = PatternRule("p", [r"https?://\S+", r"case \d*7\b", r"ATTENTAT|tornado"])
@@ -205,7 +235,8 @@ def sliding_stats(spark, d):
 
 @query
 def row_batches(spark, d):
-    rows = order.row_index(feed(spark, d).filter("seq % 3 <> 1").select("seq"), block=64)
+    """Arrival numbers have gaps."""
+    rows = order.row_index(feed(spark, d).select((F.col("seq") * 3 + F.col("seq") % 2).alias("seq")), block=64)
     return rows.select("seq", F.floor(F.col("row_index") / 64).alias("batch"))
 
 
@@ -348,7 +379,7 @@ def sitrep_markdown(spark, d):
 
 
 def _shift(spark, d):
-    rows = _sitreps(spark, d).withColumn("pos", F.xxhash64("incident_id"))
+    rows = _sitreps(spark, d).withColumn("pos", F.conv(F.substring(F.md5(F.encode("incident_id", "UTF-8")), 1, 8), 16, 10).cast("long"))
     low = rows.withColumn("severity", F.when(F.col("incident_id") < "INC-SIG-20240101-02", "P3").otherwise(F.col("severity")))
     actions = spark.createDataFrame([(0, "Called the desk", "completed", "ana", ""), (1, "Check the feed", "pending", "", "again at noon"), (2, "Ask legal", "escalated", "", ""), (3, "Tidy rules", "deferred", "bo", "")], "pos long, description string, status string, owner string, notes string")
     return reports.handover(low, actions, ["INC-1"], "kim", "calm", F.expr(NOW))
@@ -357,7 +388,8 @@ def _shift(spark, d):
 @query
 def handover(spark, d):
     out = _shift(spark, d)
-    return out.select(F.size("active_incidents").alias("active"), F.size("actions_taken").alias("taken"), F.size("pending_actions").alias("pending"), "emerging_signals_summary")
+    listed = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[f] for f in fields])), ";")
+    return out.select(listed("active_incidents", "incident_id", "severity", "title").alias("active"), listed("actions_taken", "status", "description").alias("taken"), listed("pending_actions", "status", "description").alias("pending"), joined("resolved_incidents").alias("resolved"), "emerging_signals_summary", "shift_start", "analyst", "notes")
 
 
 @query
@@ -392,8 +424,9 @@ def classification_prompt(spark, d):
 
 @query
 def boosted_prompt(spark, d):
-    modes = [r["mode"] for r in failure_modes(spark, d).orderBy("rank", "label").limit(30).collect()]
-    return spark.range(1).select(F.lit(classify.boosted_prompt(modes, [])).alias("prompt"))
+    # two modes for each label, and one more
+    modes = failure_modes(spark, d).agg(F.array_sort(F.collect_list(F.struct("rank", "label", "mode"))).alias("m"))
+    return modes.select(classify.boosted_prompt_of(F.transform("m", lambda x: x["mode"])).alias("prompt"))
 
 
 @query
