@@ -64,6 +64,8 @@ class Model:
         """(end, entry) of each match outside exception phrases."""
         import ahocorasick
 
+        if not self.lexicon:
+            return []
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
             for entry in self.lexicon:
