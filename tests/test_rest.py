@@ -285,9 +285,16 @@ def test_boosting_loop(spark, tmp_path):
     assert any("self_harm" in m for m in c.failure_modes)
 
 
-def test_entry_survives_without_llm():
+@pytest.mark.parametrize("gone", [["corpus_pipeline"], ["beaconry.llm"], ["corpus_pipeline", "beaconry.llm"]])
+def test_entry_survives_without_llm(gone, tmp_path):
+    """Both folders and the pipeline are deleted from a copy, as the driver does."""
+    import shutil
     import subprocess
     import sys
 
-    code = "import sys; sys.modules['corpus_pipeline'] = None\ntry:\n import __spark_entry__\nexcept ImportError as e:\n assert e.name == 'corpus_pipeline', e\nelse:\n assert not [q for q in __spark_entry__.queries() if q.startswith('op')]"
-    subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
+    root = __file__.rsplit("/", 2)[0]
+    shutil.copytree(f"{root}/beaconry", tmp_path / "beaconry", ignore=lambda d, names: ["llm"] if "beaconry.llm" in gone and d.endswith("beaconry") else [])
+    for name in ("__spark_entry__.py", *(["corpus_pipeline.py"] if "corpus_pipeline" not in gone else [])):
+        shutil.copy(f"{root}/{name}", tmp_path)
+    code = "import __spark_entry__ as e\nassert not [q for q in e.queries() if q.startswith('op') or q == 'pipeline'] and len(e.queries()) > 60 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
