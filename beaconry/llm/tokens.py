@@ -7,9 +7,9 @@ Inside one chunk a second table gives the count at every character: the last pie
 there for which the piece before it, the last of the shorter prefix, and t stay apart when encoded together.  Truncation
 and budget questions are look-ups in the tables; no text is encoded for them.
 
-n(chunk) is remembered for frequent chunks; for a new one the library is asked, which takes a fifth of the second table's
-time (measured: 8 against 40 microseconds) and gives the same number.  Where the chunk rule does not hold for a model,
-whole texts go to the library, and budgets are met by bisection with it.
+n(chunk) is remembered for frequent chunks.  For a new one the library is asked, which gives the same number (80,000
+chunks compared) in some 4 microseconds, where the second table takes 90 to 140; see the README for what that means.
+Where the chunk rule does not hold for a model, whole texts go to the library, and budgets are met by bisection with it.
 
 A null or empty text has no tokens and the prefix table [0].
 """
