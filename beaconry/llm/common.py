@@ -17,7 +17,7 @@ U64 = np.uint64
 
 
 class Tables:
-    """Intermediate tables in the shared folder.  cut() writes and rereads (lineage ends there); drop() deletes."""
+    """Intermediate tables in the shared folder.  cut() writes and rereads (lineage ends there); drop() and keep() delete."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
@@ -35,6 +35,12 @@ class Tables:
         """Only for a table (or part of one) from which nothing unwritten still derives."""
         delete(self.spark, f"{df._beaconry_path}/{part}")
 
+    def keep(self, *dfs: DataFrame) -> None:
+        """Deletes all tables but these; only where nothing unwritten derives from the others."""
+        for k in range(self.n):
+            if f"{self.root}/{k}" not in {df._beaconry_path for df in dfs}:
+                delete(self.spark, f"{self.root}/{k}")
+
 
 def batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound the Arrow batches that Python operators get, in rows and in bytes."""

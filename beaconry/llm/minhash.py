@@ -7,10 +7,14 @@ hashes in their order, 32 bits of each; the 16 smallest are kept whole.
 2. Inverted lists of the 16 smallest values: two sets with a similarity of s share none of the first k of their union
    with a probability of (1 - s)^k.  Lists of up to 64 classes give all their pairs.
 3. Longer lists (common passages, large groups of copies) give no pairs.  A class with fewer values in short lists than
-   make a missed link less likely than ODDS is listed again, under every run of consecutive values of its 192 smallest:
-   similar sets share a run, sets that share a passage seldom do.  The length of the runs follows from the size of the
-   set and the wanted similarity, as the longest (of up to six) that the sets share but for ODDS.  These lists are
-   compared whole, in blocks of bounded size, and each block gives a spanning forest of its links instead of all pairs.
+   make a missed link less likely than ODDS is listed again.  Sets within the sketch are listed under their prefix: with
+   all values in one order, frequent ones last, two sets of n and m that link share a value among the first
+   n - ceil(s n) + 1 and m - ceil(s m) + 1, always.  So what is rare decides, and a set whose own values fill its prefix
+   meets nothing, whatever passage it shares.  Larger sets are listed under every run of consecutive values of their 192
+   smallest: similar sets share a run, sets that share a passage seldom do.  The length of the runs follows from the size
+   of the set and the wanted similarity, as the longest (of up to six) that the sets share but for ODDS.  These lists
+   are compared whole, in blocks of bounded size, and each block gives a spanning forest of its links instead of all
+   pairs.
 4. Union sketches estimate each pair's similarity.  For sets within the sketch this is the true one, but for equal 32
    bits of unequal values (a chance of 2e-4 a pair at most, and of that to matter only for a pair just below the
    threshold).  For larger ones it is off by 0.0125 (one deviation): a pair must fall 0.08 below the threshold to go, and
@@ -40,7 +44,9 @@ from .common import HASHES, U64, Tables, arrow_map, batches, grams, mix, texts
 from .links import components, roots
 
 SKETCH, RUNS, HEAD, LIMIT, BLOCK = 1024, 192, 16, 64, 1024
-#: how often a link at the threshold may be missed by each of the two kinds of lists
+#: so many of the most frequent values are known to all tasks and go last in prefixes
+KNOWN = 1 << 17
+#: how often a link at the threshold may be missed by the short lists, and by the runs of large sets
 ODDS = 1e-8
 #: how far off an estimate from cut sketches may be, either way
 OFF = 0.08
@@ -111,8 +117,48 @@ def run_lengths(n: int, percent: int) -> frozenset[int]:
     return frozenset(run_length(min(k, 2 * RUNS), percent) for k in range(min(low, 2 * RUNS), min(high, 2 * RUNS) + 1))
 
 
-def run_lists(rows: DataFrame, percent: int, tables: Tables) -> DataFrame:
-    """key, c (how many classes have it), doc, n, sketch; for keys of more than one."""
+def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes that stand in more than LIMIT of the rows, at most KNOWN, in their order; and the place of each, the rarest first."""
+
+    def run(it):
+        for b in it:
+            own = [codes(x, SKETCH) for x in b.column(0).to_pylist()]
+            code, c = np.unique(np.concatenate(own), return_counts=True)
+            yield {"code": code, "c": c}
+
+    counts = arrow_map(rows.select("sketch"), run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).filter(F.col("c") > LIMIT)
+    got = counts.orderBy(F.desc("c"), "code").limit(KNOWN).toPandas()
+    code, c = got["code"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
+    order = np.argsort(code)
+    place = np.empty(len(code), np.int64)
+    place[np.lexsort((code, c))] = np.arange(len(code))
+    return code[order], place[order]
+
+
+def prefix(code: np.ndarray, percent: int, known: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first codes of a whole set, one of which it shares with each set that it links with."""
+    own = np.full(len(code), -1)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        own = np.where(known[at] == code, place[at], -1)
+    return code[np.lexsort((code, own))[: len(code) - -(-percent * len(code) // 100) + 1]]
+
+
+def prefix_keys(rows: DataFrame, percent: int) -> DataFrame:
+    """key, doc, n of sets that their sketches hold whole."""
+    known, place = frequent(rows)
+
+    def run(it):
+        for b in it:
+            own = [prefix(codes(x, SKETCH), percent, known, place) for x in b.column(2).to_pylist()]
+            size = [len(x) for x in own]
+            yield {"key": np.concatenate(own), "doc": np.repeat(b.column(0).to_numpy(), size), "n": np.repeat(b.column(1).to_numpy(), size)}
+
+    return arrow_map(rows, run, "key long, doc long, n long")
+
+
+def run_keys(rows: DataFrame, percent: int) -> DataFrame:
+    """key, doc, n of sets of any size."""
 
     def run(it):
         for b in it:
@@ -125,11 +171,27 @@ def run_lists(rows: DataFrame, percent: int, tables: Tables) -> DataFrame:
                         c.extend(x)
             yield out
 
-    listed = tables.cut(arrow_map(rows, run, "key long, doc long, n long"))
+    return arrow_map(rows, run, "key long, doc long, n long")
+
+
+def with_sketches(keys: DataFrame, rows: DataFrame, tables: Tables) -> DataFrame:
+    """key, c (how many classes have it), doc, n, sketch; for keys of more than one."""
+    listed = tables.cut(keys)
     counts = tables.cut(listed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
     return tables.cut(listed.join(counts, "key")).join(rows.select("doc", "sketch"), "doc")
 
 
+def long_pairs(rows: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """Pairs that leave no two linked classes of rows (doc, n, sketch) apart: of two whole sets by prefixes, of others by runs."""
+    whole = rows.filter(F.col("n") <= SKETCH)
+    large = rows.filter(100 * F.col("n") > percent * SKETCH)
+    lists = [with_sketches(prefix_keys(whole, percent), whole, tables)]
+    if large.filter(F.col("n") > SKETCH).limit(1).count():
+        lists.append(with_sketches(run_keys(large, percent), large, tables))
+    found = [block_pairs(x, percent) for x in lists]
+    return found[0] if len(found) < 2 else found[0].unionByName(found[1])
+
+
 def codes(sketch: bytes, most: int) -> np.ndarray:
     """The first values of a sketch, made distinct by counting equal ones."""
     x = np.sort(np.frombuffer(sketch, np.uint32)[:most]).astype(np.int64)
@@ -287,11 +349,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     short = list_pairs(listed.filter(F.col("c") <= LIMIT).groupBy("value").agg(F.collect_list(F.struct("doc", "n")).alias("rows")).select("rows"), percent)
     # classes that short lists alone don't cover
     long_ = listed.filter(F.col("c") > LIMIT).groupBy("doc").agg(F.count("*").alias("long"))
-    open_ = reps.join(long_, "doc").filter(F.size("head") - F.col("long") < safe_values(percent)).select("doc").join(sk.select("doc", "n", "sketch"), "doc")
-    pairs = short.unionByName(block_pairs(run_lists(open_, percent, tables), percent)).distinct()
-    pairs = tables.cut(pairs)
+    open_ = tables.cut(reps.join(long_, "doc").filter(F.size("head") - F.col("long") < safe_values(percent)).select("doc"))
+    # written before sketches are fetched, so their number is known and few of them leave the sketches where they are
+    open_ = tables.cut(sk.select("doc", "n", "sketch").join(open_, "doc", "left_semi"))
+    pairs = tables.cut(short.unionByName(long_pairs(open_, percent, tables)).distinct())
     # sketches move once, to those that have a pair
-    near = tables.cut(sk.select("doc", "n", "sketch").join(ends_of(pairs), "doc", "left_semi"))
+    ends = tables.cut(ends_of(pairs))
+    near = tables.cut(sk.select("doc", "n", "sketch").join(ends, "doc", "left_semi"))
+    tables.keep(member, pairs, near)
     pairs = tables.cut(estimate(pairs, near, percent))
     tables.drop(near)
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "est").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "est"))
@@ -301,4 +366,5 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     links = confirm(best, sets, percent, tables)
     rest = tables.cut(apart(pairs.select("a", "b"), components(links, tables)).join(best, ["a", "b"], "left_anti"))
     found = tables.cut(components(links.unionByName(confirm(rest, sets, percent, tables)), tables))
+    tables.keep(member, found)
     return member.join(found, member["rep"] == found["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"), (F.col("doc") == F.coalesce("root", "rep")).alias("kept"))

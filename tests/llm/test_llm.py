@@ -146,6 +146,57 @@ def test_minhash_long_lists(spark):
     assert {got[k] for k in range(150)} == {0} and all(got[200 + k] == 200 + k for k in range(120))
 
 
+@pytest.fixture
+def written(spark, monkeypatch):
+    """Rows of each table that an operator writes, by its columns."""
+    out, cut = [], common.Tables.cut
+
+    def noted(self, df, *by):
+        made = cut(self, df, *by)
+        out.append((made.columns, made.count()))
+        return made
+
+    monkeypatch.setattr(common.Tables, "cut", noted)
+    return out
+
+
+def test_minhash_graded_copies(spark, written):
+    """Copies with few to many edits, and texts with a passage of theirs: exact classes from few list entries and pairs."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, rows = [word() for _ in range(150)], []
+    for k in range(300):
+        w = list(base)
+        for _ in range(k % 16):
+            w[rng.randrange(150)] = word()
+        rows.append((k, " ".join(w)))
+    rows += [(300 + k, " ".join([*base[:60], *(word() for _ in range(90))])) for k in range(100)]
+    # beyond the sketch, and some within it that link with larger ones
+    long_ = [word() for _ in range(1040)]
+    for k in range(80):
+        w = long_[: 1020 + k % 4 * 6]
+        for _ in range(k // 2):
+            w[rng.randrange(1000)] = word()
+        rows.append((400 + k, " ".join(w)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    ids = sorted(sets)
+    pairs = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = brute_components(pairs, ids)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()}
+    assert got == {i: root[i] for i in ids} and 100 < sum(root[i] != i for i in ids) < 380
+    # a class of the copies is listed under no more than its prefix, a class beyond the sketch under its runs
+    assert sum(n for columns, n in written if columns == ["key", "doc", "n"]) <= 320 * 31 + 80 * (210 + 2 * minhash.RUNS)
+
+
+def test_minhash_leaves_two_tables(spark, docs):
+    import glob
+    import os
+
+    near = minhash.near_duplicates(docs, 85)
+    root = max(glob.glob(f"{common.shared_dir(spark).removeprefix('file://')}/minhash-*"), key=os.path.getmtime)
+    assert len(glob.glob(f"{root}/*")) == 2 and near.count() == len(corpus())
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + k, 401 + k) for k in range(60)] + [(500, 501 + k) for k in range(50)]
