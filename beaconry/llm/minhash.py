@@ -123,7 +123,7 @@ def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(it):
         for b in it:
             own = [codes(x, SKETCH) for x in b.column(0).to_pylist()]
-            code, c = np.unique(np.concatenate(own), return_counts=True)
+            code, c = np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_counts=True)
             yield {"code": code, "c": c}
 
     counts = arrow_map(rows.select("sketch"), run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).filter(F.col("c") > LIMIT)
@@ -152,7 +152,7 @@ def prefix_keys(rows: DataFrame, percent: int) -> DataFrame:
         for b in it:
             own = [prefix(codes(x, SKETCH), percent, known, place) for x in b.column(2).to_pylist()]
             size = [len(x) for x in own]
-            yield {"key": np.concatenate(own), "doc": np.repeat(b.column(0).to_numpy(), size), "n": np.repeat(b.column(1).to_numpy(), size)}
+            yield {"key": np.concatenate([np.zeros(0, np.int64), *own]), "doc": np.repeat(b.column(0).to_numpy(), size), "n": np.repeat(b.column(1).to_numpy(), size)}
 
     return arrow_map(rows, run, "key long, doc long, n long")
 

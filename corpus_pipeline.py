@@ -28,10 +28,15 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     from beaconry.llm.minhash import near_duplicates
 
     # written once, as the numbers must not change between the passes
-    rows = Tables(spark, "near").cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    tables = Tables(spark, "near")
+    rows = tables.cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
     near = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), percent=80).select(F.col("doc_id").alias("row"), "component_id")
-    first = near.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m"))
-    return rows.join(first.select("m.row"), "row", "left_semi").select(*COLUMNS)
+    near = tables.cut(near.join(rows.select("row", "doc_id"), "row"))
+    first = near.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m"), F.count("*").alias("c")).filter("c > 1")
+    # few rows go, so their numbers move and not the texts
+    gone = tables.cut(near.join(first.select("component_id", F.col("m.row").alias("first")), "component_id").filter("row != first").select("row"))
+    tables.keep(rows, gone)
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,6 +197,13 @@ def test_minhash_leaves_two_tables(spark, docs):
     assert len(glob.glob(f"{root}/*")) == 2 and near.count() == len(corpus())
 
 
+def test_near_dedup_moves_the_rows_that_go(spark, docs, written):
+    import corpus_pipeline as C
+
+    left = C.minhash_near_dedup(spark, docs, "").count()
+    assert [n for columns, n in written if columns == ["row"]] == [len(corpus()) - left] and left < len(corpus())
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + k, 401 + k) for k in range(60)] + [(500, 501 + k) for k in range(50)]
